@@ -75,10 +75,9 @@ def bucket_bits(chunks: DataFrame) -> int:
     return max(4, (total // BUCKET_BYTES).bit_length())
 
 
-def dealt(keys: np.ndarray, counts: np.ndarray, bits: int, kind: str, chunk_id: int) -> Iterator[tuple]:
-    """Entry rows of a chunk's sorted keys; ``keys`` are the leading bits + 32 bits ('<u4') or all 64 ('<u8')."""
-    shift = np.uint64(32 if kind == "<u4" else 64 - bits)
-    at = np.searchsorted(keys >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+def dealt(keys: np.ndarray, counts: np.ndarray, bits: int, kind: str, chunk_id: int, buckets: np.ndarray | None = None) -> Iterator[tuple]:
+    """Entry rows of a chunk's keys, sorted by bucket and key; without ``buckets`` these are the bits above the low 32 of a key."""
+    at = np.searchsorted(keys >> np.uint64(32) if buckets is None else buckets, np.arange((1 << bits) + 1, dtype=np.uint64))
     for b in np.flatnonzero(np.diff(at)).tolist():
         part = slice(at[b], at[b + 1])
         n = counts[part]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from .components import Forest, connected
-from .util import checked_broadcast, mix64, release, with_row_id, written
+from .util import checked_broadcast, discard, mix64, release, with_row_id, written
 
 WORDS, PERCENT, BLOCK, BLOCK_BYTES, FRAGMENT = 5, 80, 1024, 16 << 20, 2048
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -185,6 +185,7 @@ def join(rows: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) ->
     chunks = C.write_chunks(rows.select("__rid", "text"))
     bits = C.bucket_bits(chunks)
     lists = written(_lists(chunks, C.totals(_entries(chunks, bits), "<u4"), bits), "ngram-lists")
+    discard(chunks)
     release(spark)
     classes = written(lists.filter("shared IS NOT NULL").dropDuplicates(["set_key"]).select("set_key", "n_shingles", "prefix", "shared"), "ngram-classes")
     linked = connected(written(_family_links(classes, families(classes), block, block_bytes), "ngram-links"))

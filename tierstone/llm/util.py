@@ -29,8 +29,6 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    if not _written:
-        atexit.register(_forget)
     path = f"{shared_dir(spark)}/tierstone/{tag}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
@@ -42,6 +40,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@atexit.register
 def _forget() -> None:
     for spark, path in _written:
         try:
@@ -56,7 +55,23 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables from written() that no pending plan reads any more."""
+    for df in tables:
+        delete_path(df.sparkSession, df._written_to)
+
+
+def discard_all(spark: SparkSession, keep: str = "pipeline-") -> None:
+    """Delete every table written so far but those whose tag begins with ``keep``: for callers that have written their own result."""
+    for at in [x for x in _written if f"/tierstone/{keep}" not in x[1]]:
+        _written.remove(at)
+        delete_path(spark, at[1])
+    release(spark)
 
 
 def release(spark: SparkSession) -> None:
