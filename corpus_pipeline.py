@@ -5,37 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tierstone.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
-from tierstone.llm.util import table, written
+from tierstone.llm.util import discard_all, table, written
 from tierstone.session import ship
 
 
+def _begin(spark: SparkSession) -> None:
+    """A stage's input is written, so what the stages before it left in the shared folder goes."""
+    discard_all(ship(spark))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the risk-controlled cutoffs reject go."""
-    ship(spark)
+    _begin(spark)
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
-    ship(spark)
+    _begin(spark)
     return exact_dedup.keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies stays."""
-    ship(spark)
+    _begin(spark)
     return ngram_join.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    ship(spark)
+    _begin(spark)
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences."""
-    ship(spark)
+    _begin(spark)
     return packing.op4(docs)
 
 
