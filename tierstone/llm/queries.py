@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, ngram_join, packing, quality_rules
+from . import exact_dedup, importance, language_id, mixing, ngram_join, packing, quality_rules, substring_dedup, token_counts, warc
 from .util import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op1(table(spark, sf_dir, "documents"))
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op2(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op3(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op4(table(spark, sf_dir, "documents"))
 
@@ -30,8 +42,16 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op10(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_best_fit_packing, op5_exact_dedup, op6_ngram_jaccard_join, op7_quality_rules, op8_source_mixing)
+    f.__name__: f for f in (op1_language_id, op2_suffix_array_dedup, op3_token_counts, op4_best_fit_packing, op5_exact_dedup, op6_ngram_jaccard_join, op7_quality_rules, op8_source_mixing, op9_quality_classifier, op10_warc)
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op8_source_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op8_source_mixing": mixing.SQL, "op10_warc": warc.SQL}
