@@ -129,28 +129,24 @@ def totals(entries: DataFrame, kind: str) -> DataFrame:
     return ready.mapInArrow(run, "chunk_id long, bucket int, totals binary")
 
 
-def returned(chunks: DataFrame, back: DataFrame, use: Callable[[dict, np.ndarray], Iterator[pa.RecordBatch]], schema: str, extra: DataFrame | None = None) -> DataFrame:
-    """Call ``use(chunk row, totals in key order)`` for each chunk; ``extra`` (chunk_id, payload) comes with it as row["extra"]."""
+def returned(chunks: DataFrame, backs: list[DataFrame], use: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Call ``use(chunk row, totals in key order, ...)`` for each chunk, with one array of totals for each of ``backs``."""
     null = lambda t: F.lit(None).cast(t)
-    names = ["chunk_id", "kind", "bucket", "n_bytes", "ids", "lengths", "blob", "payload"]
-    own = chunks.select("chunk_id", F.lit(0).alias("kind"), F.lit(-1).alias("bucket"), "n_bytes", "ids", "lengths", "blob", null("binary").alias("payload"))
-    tot = back.select("chunk_id", F.lit(2).alias("kind"), "bucket", null("long").alias("n_bytes"), *(null("binary").alias(n) for n in names[4:7]), F.col("totals").alias("payload"))
-    both = own.unionByName(tot)
-    if extra is not None:
-        both = both.unionByName(extra.select("chunk_id", F.lit(1).alias("kind"), F.lit(-1).alias("bucket"), null("long").alias("n_bytes"), *(null("binary").alias(n) for n in names[4:7]), "payload"))
+    both = chunks.select("chunk_id", F.lit(0).alias("kind"), F.lit(-1).alias("bucket"), "n_bytes", "ids", "lengths", "blob", null("binary").alias("payload"))
+    for i, back in enumerate(backs, 1):
+        both = both.unionByName(back.select("chunk_id", F.lit(i).alias("kind"), "bucket", null("long").alias("n_bytes"), *(null("binary").alias(n) for n in ("ids", "lengths", "blob")), F.col("totals").alias("payload")))
+    n = len(backs)
 
     def run(batches):
         held, parts = None, []
         for r in rows_of(batches):
             if r["kind"] == 0:
                 if held:
-                    yield from use(held, np.concatenate(parts) if parts else np.zeros(0, "<u4"))
-                held, parts = r, []
-            elif r["kind"] == 1:
-                held["extra"] = r["payload"]
+                    yield from use(held, *map(np.concatenate, parts))
+                held, parts = r, [[np.zeros(0, "<u4")] for _ in range(n)]
             else:
-                parts.append(loosen(r["payload"], "<u4"))
+                parts[r["kind"] - 1].append(loosen(r["payload"], "<u4"))
         if held:
-            yield from use(held, np.concatenate(parts) if parts else np.zeros(0, "<u4"))
+            yield from use(held, *map(np.concatenate, parts))
 
     return both.repartition("chunk_id").sortWithinPartitions("chunk_id", "kind", "bucket").mapInArrow(run, schema)

@@ -112,7 +112,7 @@ def _lists(chunks: DataFrame, back: DataFrame, bits: int) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["rid", "n_shingles", "set_key", "prefix", "shared"])
 
-    return C.returned(chunks, back, use, LISTS)
+    return C.returned(chunks, [back], use, LISTS)
 
 
 def families(classes: DataFrame) -> DataFrame:

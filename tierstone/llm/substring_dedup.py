@@ -139,30 +139,28 @@ def _sample_entries(chunks: DataFrame, bits: int) -> DataFrame:
     return chunks.mapInArrow(run, C.ENTRY)
 
 
-def _window_entries(chunks: DataFrame, back: DataFrame, bits: int) -> DataFrame:
-    """Entries of all heads with a repeated sample near their start, and in bucket -1 which positions these are."""
+def _wanted(texts: list[bytes], n: int, total: np.ndarray, bits: int) -> np.ndarray:
+    """Positions with a repeated sample near their start."""
+    at, keys = _samples(texts, bits)
+    _, place = np.unique(keys, return_inverse=True)
+    return _covered(at[total[place] > 1] if len(at) else at, n, PERIOD - 1, 1)
 
+
+def _window_entries(chunks: DataFrame, samples: DataFrame, bits: int) -> DataFrame:
     def use(row, total):
         _, texts = C.opened(row)
-        at, keys = _samples(texts, bits)
-        _, place = np.unique(keys, return_inverse=True)
-        wanted = _covered(at[total[place] > 1] if len(at) else at, row["n_bytes"], PERIOD - 1, 1)
-        at, buckets, keys = _windows(texts, wanted, bits)
-        mask = np.zeros(row["n_bytes"], bool)
-        mask[at] = True
+        _, buckets, keys = _windows(texts, _wanted(texts, row["n_bytes"], total, bits), bits)
         b, k, counts, _ = _distinct_pairs(buckets, keys)
-        rows = list(C.dealt(k, counts, bits, "<u8", row["chunk_id"], b))
-        yield C.entry_batch([*rows, (-1, row["chunk_id"], C.squeeze(np.packbits(mask)), b"")])
+        yield C.entry_batch(list(C.dealt(k, counts, bits, "<u8", row["chunk_id"], b)))
 
-    return C.returned(chunks, back, use, C.ENTRY)
+    return C.returned(chunks, [samples], use, C.ENTRY)
 
 
-def _removals(chunks: DataFrame, back: DataFrame, masks: DataFrame, bits: int) -> DataFrame:
-    def use(row, total):
+def _removals(chunks: DataFrame, samples: DataFrame, windows: DataFrame, bits: int) -> DataFrame:
+    def use(row, sampled, total):
         copies, texts = C.opened(row)
         n = row["n_bytes"]
-        wanted = np.unpackbits(C.loosen(row["extra"], "u1"), count=n).astype(bool)
-        at, buckets, keys = _windows(texts, wanted, bits)
+        at, buckets, keys = _windows(texts, _wanted(texts, n, sampled, bits), bits)
         *_, place = _distinct_pairs(buckets, keys)
         gone = _covered(at[total[place] > 1] if len(at) else at, n, 0, LENGTH)
         out, start = [], 0
@@ -181,7 +179,7 @@ def _removals(chunks: DataFrame, back: DataFrame, masks: DataFrame, bits: int) -
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["sha", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return C.returned(chunks, back, use, RESULT, masks)
+    return C.returned(chunks, [samples, windows], use, RESULT)
 
 
 def op2(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -193,10 +191,11 @@ def op2(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     chunks = C.write_chunks(keyed.groupBy("sha").agg(F.count("*").alias("copies"), F.first("text").alias("text")).select("copies", "text"), chunk)
     release(spark)
     bits = C.bucket_bits(chunks)
-    windows = written(_window_entries(chunks, C.totals(_sample_entries(chunks, bits), "<u4"), bits), "substring-windows")
+    samples = written(C.totals(_sample_entries(chunks, bits), "<u4"), "substring-samples")
+    release(spark)
+    windows = written(C.totals(_window_entries(chunks, samples, bits), "<u8"), "substring-windows")
     release(spark)
-    masks = windows.filter("bucket = -1").select("chunk_id", F.col("keys").alias("payload"))
-    found = written(_removals(chunks, C.totals(windows.filter("bucket >= 0"), "<u8"), masks, bits), "substring-found")
-    discard(chunks, windows)
+    found = written(_removals(chunks, samples, windows, bits), "substring-found")
+    discard(chunks, samples, windows)
     release(spark)
     return ids.join(found, "sha").drop("sha")
