@@ -75,7 +75,7 @@ def patterns(counts: np.ndarray, size: int) -> list[tuple[int, ...]]:
     return out
 
 
-def nnls(matrix: np.ndarray, target: np.ndarray, rounds: int = 300) -> np.ndarray:
+def nnls(matrix: np.ndarray, target: np.ndarray, rounds: int = 1500) -> np.ndarray:
     """Non-negative least squares by accelerated projected gradients."""
     gram, top = matrix.T, matrix @ np.ones(matrix.shape[1])
     rate = 1.0 / max(1e-9, float((gram @ top).max()))  # at most 1 / the largest eigenvalue, which the row sums of A'A bound
@@ -123,7 +123,8 @@ def make_plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]
         for j, shape in enumerate(shapes):
             for c in shape:
                 matrix[c, j] += 1
-        scale = np.sqrt(np.maximum(counts[:size], 1.0))  # common and rare lengths weigh alike
+        # common and rare lengths weigh alike, long ones more: what is left of short ones finds room later
+        scale = np.sqrt(np.maximum(counts[:size], 1.0)) / (np.arange(size) / size + 0.05)
         repeats = np.floor(nnls(matrix / scale[:, None], counts[:size] / scale) + 1e-6).astype(np.int64)
         for j in np.argsort(-repeats, kind="stable"):
             need = Counter(shapes[j])
