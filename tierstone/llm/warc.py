@@ -163,8 +163,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    few = archives.repartition(F.col("path"))
-    return few.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # an archive is some megabytes of work in a row of some bytes, so the number of tasks is given and not left to sizes
+    return archives.repartition(max(1, min(archives.count(), 100_000))).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op10(pages: DataFrame) -> DataFrame:
