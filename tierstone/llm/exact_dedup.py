@@ -1,9 +1,10 @@
 """Exact dedup by content sort, in DataFrame operations only.
 
-Sampled splitters (``repartitionByRange``) deal the normalised texts into ranges; an external sort puts equal texts side
-by side, and a sort aggregate compares each with its neighbour in full and keeps the first row by (most code points, smallest doc_id).
+Sampled splitters (``repartitionByRange``) deal the normalised texts into ranges by their first code points and, behind these, a
+hash, so that the sampled keys are short; an external sort puts equal texts side by side, and a sort aggregate compares each with its
+neighbour in full and keeps the first row by (most code points, smallest doc_id).
 A text with very many copies spans several ranges: copies of a text over ``HOT_ROWS`` (known from a count of
-digests, so at most rows / HOT_ROWS texts) get a salt as second sort key, and the digest stitches the pieces' one row each.
+digests, so at most rows / HOT_ROWS texts) get a salt as the last range key, and the digest stitches the pieces' one row each.
 
 Edge cases: a null text counts as empty; empty and all-white texts form one group; a null doc_id comes after all others; of
 rows that are alike in everything one stays; an empty table gives an empty result; other columns are ignored.
@@ -19,6 +20,8 @@ from .util import checked_broadcast, with_row_id, written
 WHITE = " \t\n\x0b\x0c\r"
 #: A text with more copies than this, and than one row in 1000, is dealt to several ranges.
 HOT_ROWS = 500
+#: Code points of a text that its range key holds; the driver samples range keys, which must not be whole texts.
+HEAD = 32
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -34,15 +37,16 @@ def groups(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     limit = max(hot_rows, n // 1000)
     hot = written(rows.groupBy("text_sha256").count().filter(F.col("count") > limit).select(F.col("text_sha256").alias("__sha"), F.ceil(F.col("count") / limit).alias("__pieces")), "exact-hot")
     salt = F.coalesce(F.pmod(F.xxhash64("__rid"), F.col("__pieces")), F.lit(0))
-    salted = rows.join(checked_broadcast(hot, n // limit, 1000), F.col("text_sha256") == F.col("__sha"), "left").select("norm", salt.alias("salt"), "text_sha256", F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "__rid").alias("row"))
-    ranged = salted.repartitionByRange("norm", "salt")
-    same = ranged.groupBy("norm", "salt").agg(F.first("text_sha256").alias("text_sha256"), F.min("row").alias("best"), F.count("*").alias("n"))
+    salted = rows.join(checked_broadcast(hot, n // limit, 1000), F.col("text_sha256") == F.col("__sha"), "left").select(F.substring("norm", 1, HEAD).alias("head"), F.xxhash64("norm").alias("rest"), salt.alias("salt"), "norm", "text_sha256", F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "__rid").alias("row"))
+    # the range exchange clusters on a subset of the grouping keys, so no second exchange follows
+    same = salted.repartitionByRange("head", "rest", "salt").groupBy("head", "rest", "salt", "norm").agg(F.first("text_sha256").alias("text_sha256"), F.min("row").alias("best"), F.count("*").alias("n"))
     return same.groupBy("text_sha256").agg(F.min("best").alias("best"), F.sum("n").alias("group_size")).filter("group_size > 1")
 
 
 def decide(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each row with keep_id, group_size and kept. The join moves ids and digests, not texts; AQE splits hot digests."""
-    twice = groups(rows, hot_rows).select(F.col("text_sha256").alias("__sha"), "best", "group_size")
+    # written, so that both sides of the join are plain scans, which AQE can split at a hot digest
+    twice = written(groups(rows, hot_rows).select(F.col("text_sha256").alias("__sha"), "best", "group_size"), "exact-groups")
     out = rows.select("doc_id", "__rid", "text_sha256").join(twice, F.col("text_sha256") == F.col("__sha"), "left")
     alone = F.col("best").isNull()
     return out.select(
