@@ -198,7 +198,7 @@ def op6(docs: DataFrame) -> DataFrame:
     rows = with_row_id(docs.select("doc_id", "text"), "ngram-rows")
     found = written(join(rows).join(rows.select("__rid", "doc_id"), "__rid"), "ngram-found")
     # only components of several rows need their smallest doc_id looked up
-    least = found.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("label").alias("__label"), "least")
+    least = written(found.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("label").alias("__label"), "least"), "ngram-least")
     out = found.join(least, F.col("label") == F.col("__label"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -208,6 +208,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = with_row_id(docs, "ngram-docs")
     found = written(join(rows).join(rows.select("__rid", "doc_id"), "__rid"), "ngram-found")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__rid")
-    first = found.filter("label IS NOT NULL").groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("label").alias("__label"), F.col("first.__rid").alias("__first"))
+    first = written(found.filter("label IS NOT NULL").groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("label").alias("__label"), F.col("first.__rid").alias("__first")), "ngram-first")
     gone = written(found.join(first, F.col("label") == F.col("__label")).filter("__rid <> __first").select("__rid"), "ngram-gone")
     return rows.join(checked_broadcast(gone, gone.count(), 1_000_000), "__rid", "left_anti").select(docs.columns)

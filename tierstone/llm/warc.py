@@ -109,7 +109,8 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html")).withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     place = F.struct(F.col("page_id").isNull().alias("none"), "page_id")
-    twice = rows.filter(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min(place)["page_id"].alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("__digest"), "first", F.lit(True).alias("again"))
+    # written, so that AQE can split the join at a hot digest
+    twice = written(rows.filter(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min(place)["page_id"].alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("__digest"), "first", F.lit(True).alias("again")), "warc-twice")
     rows = rows.join(twice, F.col("digest") == F.col("__digest"), "left").select("page_id", "url", "html", "digest", "first", F.coalesce("again", F.lit(False)).alias("again"))
 
     def run(batches):
