@@ -24,39 +24,71 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from .components import Forest, connected
-from .util import checked_broadcast, discard, mix64, release, with_row_id, written
+from .util import checked_broadcast, discard, mix64, powers, release, with_row_id, written
 
-WORDS, PERCENT, BLOCK, BLOCK_BYTES, FRAGMENT = 5, 80, 1024, 16 << 20, 2048
+WORDS, PERCENT, BLOCK, BLOCK_BYTES, FRAGMENT, SEGMENT = 5, 80, 1024, 16 << 20, 2048, 256 << 10
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
-
-
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    split = [t.lower().split() for t in texts]
-    known = {w: xxhash.xxh3_64_intdigest(w) for w in {w for ws in split for w in ws}}
-    out = []
-    for ws in split:
-        h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-        n = min(len(ws), WORDS)
-        if not n:
-            out.append(h)
+_BASE = 0x2545F4914F6CDD1D
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
+_WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words per text, and the 64-bit hashes of all words in turn; from prefix sums over some bytes at a time, never word by word."""
+    raw = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
+    white = _WHITE[raw]
+    edge = np.flatnonzero(np.diff(white, prepend=True))
+    starts, ends = edge[::2], edge[1::2]
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    out, i = np.empty(len(starts), np.uint64), 0
+    power, back = powers(_BASE, SEGMENT)
+    while i < len(starts):
+        low = starts[i]
+        j = int(np.searchsorted(ends, low + SEGMENT, side="right"))
+        if j <= i:  # a word longer than a segment
+            out[i] = xxhash.xxh3_64_intdigest(raw[low : ends[i]].tobytes())
+            i += 1
             continue
+        n = ends[j - 1] - low
         with np.errstate(over="ignore"):
-            s = np.full(len(h) - n + 1, np.uint64(n))
-            for k in range(n):
-                s = mix64(s * _MULTIPLIERS[k] + h[k : len(h) - n + 1 + k])
-        out.append(np.unique(s))
-    return out
-
-
-def _chunk_sets(row: dict):
-    """ids, set per text, its key, and over the chunk's distinct sets: values, place of each value's truncation, truncations, counts."""
-    ids, texts = C.opened(row)
-    sets = shingle_sets(texts)
-    keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-    distinct = {k: s for k, s in zip(keys, sets) if k}
-    values, held = np.unique(np.concatenate([np.zeros(0, np.uint64), *distinct.values()]), return_counts=True)
-    return ids, sets, keys, distinct, values, held
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw[low : low + n]] * power[:n], dtype=np.uint64)])
+            out[i:j] = mix64((sums[ends[i:j] - low] - sums[starts[i:j] - low]) * back[starts[i:j] - low])
+        i = j
+    return np.diff(np.searchsorted(starts, bounds)), out
+
+
+class Sets:
+    """The shingle sets of a chunk's texts, end to end in ``rank``: places in ``values``, the sorted distinct shingle hashes of the chunk."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        lengths, h = words_of(texts)
+        owners, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        begins = np.cumsum(lengths) - lengths
+        for n in range(1, WORDS + 1):
+            whose = np.flatnonzero(lengths == n if n < WORDS else lengths >= n)
+            count = lengths[whose] - n + 1
+            owner = np.repeat(whose, count)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + begins[owner]
+            s = np.full(len(at), np.uint64(n))
+            with np.errstate(over="ignore"):
+                for k in range(n):
+                    s += h[at + k] * _MULTIPLIERS[k]
+            owners.append(owner)
+            hashes.append(mix64(s))
+        self.values, rank = np.unique(np.concatenate(hashes), return_inverse=True)
+        both = np.sort(np.concatenate(owners) << 32 | rank)
+        both = both[np.diff(both, prepend=-1) > 0]
+        self.owner, self.rank = both >> 32, both & 0xFFFFFFFF
+        self.sizes = np.bincount(self.owner, minlength=len(texts))
+        self.ends = np.cumsum(self.sizes)
+        flat, seen = self.values[self.rank], set()
+        self.keys = [xxhash.xxh3_128_digest(flat[e - n : e].tobytes()) if n else None for n, e in zip(self.sizes.tolist(), self.ends.tolist())]
+        #: Whether a text is the first of its class in the chunk.
+        self.first = np.array([k is not None and k not in seen and not seen.add(k) for k in self.keys], bool)
+
+    def held(self) -> np.ndarray:
+        """How many distinct sets of the chunk hold each of ``values``."""
+        return np.bincount(self.rank[self.first[self.owner]], minlength=len(self.values))
 
 
 def _truncated(values: np.ndarray, held: np.ndarray, bits: int):
@@ -67,14 +99,15 @@ def _truncated(values: np.ndarray, held: np.ndarray, bits: int):
 def _entries(chunks: DataFrame, bits: int) -> DataFrame:
     def run(batches):
         for row in C.rows_of(batches):
-            *_, values, held = _chunk_sets(row)
-            cut, _, counts = _truncated(values, held, bits)
+            sets = Sets(C.opened(row)[1])
+            cut, _, counts = _truncated(sets.values, sets.held(), bits)
             yield C.entry_batch(list(C.dealt(cut, counts, bits, "<u4", row["chunk_id"])))
 
     return chunks.mapInArrow(run, C.ENTRY)
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n):
+    """Of a set size, or of an array of them."""
     return n - -(-PERCENT * n // 100) + 1
 
 
@@ -85,23 +118,23 @@ def _lists(chunks: DataFrame, back: DataFrame, bits: int) -> DataFrame:
     """A row per document; the first of a class in its chunk carries prefix and shared shingles, if its prefix has any."""
 
     def use(row, total):
-        ids, sets, keys, distinct, values, held = _chunk_sets(row)
-        cut, place, _ = _truncated(values, held, bits)
+        ids, texts = C.opened(row)
+        sets = Sets(texts)
+        cut, place, _ = _truncated(sets.values, sets.held(), bits)
         assert len(cut) == len(total)
-        freq = total[place] if len(values) else total
-        rows, seen = [], set()
-        for i, s, k in zip(ids, sets, keys):
+        freq = total[place][sets.rank] if len(place) else total
+        twice = freq > 1
+        n_twice = np.bincount(sets.owner[twice], minlength=len(ids))
+        # shingles of one set only come first in the order, and may fill the prefix
+        room = prefix_length(sets.sizes) - (sets.sizes - n_twice)
+        rows = []
+        for i, n, end, key, reach in zip(ids, sets.sizes.tolist(), sets.ends.tolist(), sets.keys, np.where(sets.first & (n_twice > 0), room, 0).tolist()):
             prefix = shared = None
-            if k and k not in seen:
-                seen.add(k)
-                f = freq[np.searchsorted(values, s)]
-                twice = f > 1
-                if twice.any():
-                    order = np.lexsort((s, f))[: prefix_length(len(s))]
-                    first = s[order[twice[order]]]
-                    if len(first):
-                        prefix, shared = first.view(np.int64), s[twice].tobytes()
-            rows.append((i, len(s), k, prefix, shared))
+            if reach > 0:
+                at = np.flatnonzero(twice[end - n : end]) + end - n
+                s = sets.values[sets.rank[at]]
+                prefix, shared = s[np.argsort(freq[at], kind="stable")[:reach]].view(np.int64), s.tobytes()
+            rows.append((i, n, key, prefix, shared))
             if len(rows) == 512:
                 yield batch(rows)
                 rows = []

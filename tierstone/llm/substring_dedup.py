@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .util import discard, mix64, release, written
+from .util import discard, mix64, powers, release, written
 
 LENGTH, PERIOD = 200, 73
 BLOCK = LENGTH - PERIOD + 1
@@ -35,16 +35,6 @@ CHUNK, SEGMENT = 4 << 20, 256 << 10
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 RESULT = "sha binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse modulo 2**64, n of them at least."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        with np.errstate(over="ignore"):
-            _powers[base] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]), dtype=np.uint64) for x in (base, pow(base, -1, 2**64)))
-    return _powers[base]
-
 
 class Segment:
     """Some texts end to end, with prefix sums from which any window's fingerprint follows."""
@@ -68,7 +58,7 @@ class Segment:
         return np.flatnonzero(member[local % PERIOD] & self.heads(BLOCK))
 
     def prints(self, at: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
-        power, back = _power(base, max(SEGMENT, len(self.raw)) + 1)
+        power, back = powers(base, max(SEGMENT, len(self.raw)) + 1)
         with np.errstate(over="ignore"):
             if base not in self.sums:
                 self.sums[base] = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * power[: len(self.raw)], dtype=np.uint64)])

@@ -106,6 +106,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` and of its inverse modulo 2**64, n of them at least."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        with np.errstate(over="ignore"):
+            _powers[base] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]), dtype=np.uint64) for x in (base, pow(base, -1, 2**64)))
+    return _powers[base]
+
+
 def with_row_id(docs: DataFrame, tag: str, name: str = "__rid") -> DataFrame:
     """``docs`` written once with a stable row identity, which doc_id need not be (nulls, repeated rows)."""
     return written(docs.withColumn(name, F.monotonically_increasing_id()), tag)
