@@ -39,20 +39,21 @@ def _local_stars(batches):
     yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in stars], pa.binary()), pa.array([s[1] for s in stars], pa.binary())], names=["a", "b"])
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node is a root or hangs on one root by its only edge: then each component is a star around its smallest key."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("a").agg((F.sum("up") + F.max("down")).alias("n")).filter("n > 1").count() == 0
+
+
 def connected(links: DataFrame) -> DataFrame:
     """node, root (the smallest key of its component) for every node of ``links`` (a binary, b binary)."""
     edges = written(links.select("a", "b").mapInArrow(_local_stars, "a binary, b binary").distinct(), "cc")
-    mark = None
-    while True:
+    while not _all_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("w")).filter("u > w").distinct()
         small = large.groupBy("u").agg(F.min("w").alias("m"))
         stars = large.join(small, "u").filter("w > m").select(F.col("w").alias("a"), F.col("m").alias("b"))
         edges = written(stars.unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "cc")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == mark:
-            break
-        mark = now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
