@@ -18,3 +18,13 @@ def test_query_matches_sql(spark, name):
     want = con.sql(ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_whole_merges_read_every_write(spark, tmp_path):
+    ts = "timestamp_ntz'2024-01-01 00:00:00'"
+    # 5,000 writes, a key per write; every seventh is a delete
+    spark.range(5000).selectExpr("id AS event_id", f"{ts} AS ts", "id AS user_id", "if(id % 7 = 0, 'error', 'click') AS event_type", "1.0D AS value", "'' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    deletes = len(range(0, 5000, 7))
+    assert QUERIES["merge_whole_keep_tombstones"](spark, str(tmp_path)).count() == 5000
+    assert QUERIES["merge_whole_drop_tombstones"](spark, str(tmp_path)).count() == 5000 - deletes
+    assert QUERIES["as_of_half"](spark, str(tmp_path)).count() == 2500 - len(range(0, 2500, 7))

@@ -137,6 +137,25 @@ def merge_drop_tombstones(spark, sf_dir):
     return state.merge(_three_runs(spark, sf_dir), drop_deletes=True)
 
 
+def _whole_runs(spark, sf_dir, n: int = 3) -> list[DataFrame]:
+    """The whole log as ``n`` runs of like seq ranges; the first and the last have no outer end, so nothing is left out."""
+    log = op_log(spark, sf_dir)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    cuts = [(last + 1) * i // n for i in range(1, n)]
+    inside = [F.lit(True), *(F.col("seq") >= c for c in cuts)], [*(F.col("seq") < c for c in cuts), F.lit(True)]
+    return [state.latest(log.filter(low & high)) for low, high in zip(*inside)]
+
+
+@_query(f"WITH {LOG} SELECT key, value, seq, is_delete FROM {_latest('log')}")
+def merge_whole_keep_tombstones(spark, sf_dir):
+    return state.merge(_whole_runs(spark, sf_dir), drop_deletes=False)
+
+
+@_query(f"WITH {LOG} SELECT key, value, seq, is_delete FROM {_latest('log')} WHERE NOT is_delete")
+def merge_whole_drop_tombstones(spark, sf_dir):
+    return state.merge(_whole_runs(spark, sf_dir), drop_deletes=True)
+
+
 @_query(f"WITH i AS (SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders) SELECT idx // {layout.PER_PAGE} AS page, max(key) AS fence, count(*) AS n FROM i GROUP BY 1")
 def page_fences(spark, sf_dir):
     return layout.fences(base(spark, sf_dir).select("key"))
@@ -181,6 +200,12 @@ def as_of_state(spark, sf_dir):
     return state.as_of(op_log(spark, sf_dir), 500)
 
 
+@_query(f"WITH {LOG} SELECT key, value FROM {_visible('(SELECT * FROM log WHERE seq <= (SELECT max(seq) // 2 FROM log))')}")
+def as_of_half(spark, sf_dir):
+    log = op_log(spark, sf_dir)
+    return state.as_of(log, (log.agg(F.max("seq")).first()[0] or 0) // 2)
+
+
 class _Units:
     def __init__(self, entries: int) -> None:
         self.entries = entries
