@@ -217,6 +217,20 @@ def test_packing_plan_covers_every_count():
     assert sum(n for _, n in plan) <= 1.02 * (counts * np.arange(257)).sum() / 256 + 1
 
 
+def test_packing_fills_open_sequences_with_hot_lengths():
+    for hot, fewest in (({129: 1000, 4: 31_000}, 1000), ({129: 1000, 4: 10_007}, 1000), ({200: 300, 9: 1500, 3: 600}, 300)):
+        counts = np.zeros(257, np.int64)
+        for c, n in hot.items():
+            counts[c] = n
+        plan = packing.make_plan(counts, 256)
+        used = Counter()
+        for shape, n in plan:
+            assert sum(shape) <= 256
+            for c in shape:
+                used[c] += n
+        assert used == Counter(hot) and sum(n for _, n in plan) == fewest
+
+
 def test_token_counts(spark, docs, tmp_path):
     roll = token_counts.Rollup(spark, f"{tmp_path}/r")
     assert roll.totals().collect() == []

@@ -95,12 +95,14 @@ def best_fit(counts: np.ndarray, size: int) -> Counter:
         left = int(counts[c])
         for room in range(c, size):
             while left and open_.get(room):
+                # a sequence that has taken a piece has the least room of all, so it takes as many as fit before the next one does
                 pattern, n = open_[room].pop()
-                take = min(left, n)
+                fit = min(room // c, left)
+                take = min(left // fit, n)
                 if n > take:
                     open_[room].append([pattern, n - take])
-                left -= take
-                open_.setdefault(room - c, []).append([(*pattern, c), take])
+                left -= take * fit
+                open_.setdefault(room - fit * c, []).append([pattern + (c,) * fit, take])
         if left:
             fit = size // c
             if left >= fit:
