@@ -231,6 +231,31 @@ def test_packing_fills_open_sequences_with_hot_lengths():
         assert used == Counter(hot) and sum(n for _, n in plan) == fewest
 
 
+def test_packing_uses_exact_lengths(spark):
+    for hot, fewest in (({1025: 1000, 1023: 1000}, 1000), ({1: 4096}, 2), ({2041: 50, 7: 50}, 50), ({1001: 40, 1030: 40, 17: 40}, 40)):
+        counts = np.zeros(2049, np.int64)
+        for c, n in hot.items():
+            counts[c] = n
+        plan = packing.make_plan(counts, 2048, packing.STEP)
+        used = Counter()
+        for shape, n in plan:
+            assert sum(shape) <= 2048
+            for c in shape:
+                used[c] += n
+        assert used == Counter(hot) and sum(n for _, n in plan) == fewest
+    counts = np.zeros(2049, np.int64)
+    counts[1:2048] = np.random.default_rng(4).integers(0, 40, 2047)
+    plan = packing.make_plan(counts, 2048, packing.STEP)
+    used = Counter()
+    for shape, n in plan:
+        assert sum(shape) <= 2048
+        for c in shape:
+            used[c] += n
+    assert used == Counter({c: int(counts[c]) for c in range(1, 2048) if counts[c]})
+    got = packing.op4(spark.createDataFrame([(i, None) for i in range(4096)], "doc_id long, text string")).collect()
+    assert len({r["sequence_id"] for r in got}) == 2 and len({(r["sequence_id"], r["offset"]) for r in got}) == 4096
+
+
 def test_token_counts(spark, docs, tmp_path):
     roll = token_counts.Rollup(spark, f"{tmp_path}/r")
     assert roll.totals().collect() == []
