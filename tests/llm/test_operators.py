@@ -133,6 +133,18 @@ def test_quality_cutoffs_hold_the_risk(spark):
     assert cut < 4 and sum(r[4] / 100 > cut for r in rows) <= 0.05 / len(quality_rules.RULES) * 3000
 
 
+def test_quality_cutoffs_in_small_strata(spark):
+    rows = [(i, lang, 100, 500, i % 4, 0, 0, 10, 5, 0) for lang, ids in (("en", range(3000)), ("de", range(3000, 3120)), ("fr", range(3120, 3140))) for i in ids]
+    rows += [(9000 + i, "de", 100, 500, 500 if i % 2 else 2, 0, 0, 10, 5, 0) for i in range(40)]
+    metrics = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{m} long" for m in quality_rules.METRICS))
+    labels = spark.createDataFrame([(r[0], 1) for r in rows if r[0] < 9000], "doc_id long, quality int")
+    found = dict(quality_rules.calibrate(metrics, labels))
+    assert found["en"] and found["de"] and "fr" not in found
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(metrics, list(found.items())).collect()}
+    assert all(kept[9000 + i] == (i % 2 == 0) for i in range(40))
+    assert sum(not kept[i] for i in range(3000, 3120)) <= 0.05 * 120
+
+
 @pytest.mark.parametrize("block", [2, 1024])
 def test_ngram_join(docs, block):
     rows = util.with_row_id(docs.select("doc_id", "text"), "t")

@@ -2,8 +2,10 @@
 
 Every rule is a ratio where higher is worse. Labelled good documents are a holdout: for each stratum and rule
 the cutoffs are tried from the mildest to the strictest, and one is accepted while an exact binomial test shows
-that it rejects at most ``max_false_rejection / number of rules`` of the stratum's good documents. Trying them in a
-fixed order, up to the first failure, needs no correction over cutoffs; strata and rules are corrected for by Bonferroni.
+that it rejects at most ``max_false_rejection / number of rules`` of the stratum's good documents. A stratum with too few labels for that
+has the cutoffs of all rules tried in one fixed sequence (``SEQUENCE``), and all that they reject together is tested against
+``max_false_rejection``; which of the two a stratum gets depends on its number of labels only. Trying cutoffs in a fixed order, up to the
+first failure, needs no correction over cutoffs; strata and rules are corrected for by Bonferroni.
 Hence, with probability ``1 - delta``, no stratum loses more than ``max_false_rejection`` of its good documents.
 
 Edge cases: a null text has no words and fails the base rules; a null stratum is a stratum of its own; a stratum with
@@ -25,7 +27,7 @@ from .util import checked_broadcast, slices, texts_of, written
 
 SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
-MAX_FALSE_REJECTION, DELTA = 0.05, 0.05
+MAX_FALSE_REJECTION, DELTA, JOINT = 0.05, 0.05, "all rules"
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs"]
 
 #: rule -> (score, cutoffs from the mildest to the strictest); a document goes when its score is above the cutoff.
@@ -37,6 +39,9 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "bangs": ("n_bangs / n_words", [2, 1.5, 1, 0.75, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1]),
 }
 
+#: All cutoffs as (rule, place in its grid), from the mildest to the strictest; each rule's are spread evenly.
+SEQUENCE = sorted(((r, i) for r, (_, grid) in RULES.items() for i in range(len(grid))), key=lambda x: ((x[1] + 1) / len(RULES[x[0]][1]), list(RULES).index(x[0])))
+
 
 def text_metrics(b: bytes | None) -> tuple[int, ...]:
     """METRICS of one text; n_words to n_repeat_words as the contract has them."""
@@ -104,27 +109,31 @@ def calibrate(metrics: DataFrame, labels: DataFrame, stratum: str = "lang", max_
     good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q")).filter("q = 1").select(F.col("doc_id").alias("__id"))
     held = metrics.filter(~base_failed()).join(good, metrics["doc_id"] == F.col("__id"), "left_semi")
     # the least count at which even no rejection among n documents can pass, before correction over strata
-    fewest = math.ceil(math.log(delta / len(RULES)) / math.log1p(-risk))
+    fewest = math.ceil(math.log(delta) / math.log1p(-max_false_rejection))
     passed = [sum((F.when(score(r) <= float(c), 1).otherwise(0) for c in grid), F.lit(0)) for r, (_, grid) in RULES.items()]
-    steps = F.array(*(F.struct(F.lit(r).alias("rule"), p.alias("kept_by")) for r, p in zip(RULES, passed)))
+    # a document passes the steps of SEQUENCE before the first one that rejects it
+    place = {r: [SEQUENCE.index((r, i)) for i in range(len(grid))] + [len(SEQUENCE)] for r, (_, grid) in RULES.items()}
+    joint = F.least(*(F.array(*map(F.lit, place[r]))[p] for r, p in zip(RULES, passed)))
+    steps = F.array(*(F.struct(F.lit(r).alias("rule"), p.alias("kept_by")) for r, p in zip([*RULES, JOINT], [*passed, joint])))
     counts = held.select(F.col(stratum).alias("stratum"), F.explode(steps).alias("s")).groupBy("stratum", "s.rule", "s.kept_by").count()
     sizes = counts.filter(F.col("rule") == next(iter(RULES))).groupBy("stratum").agg(F.sum("count").alias("n")).filter(F.col("n") >= fewest)
     kept = counts.alias("c").join(sizes.alias("z"), F.expr("c.stratum <=> z.stratum")).select("c.stratum", "rule", "kept_by", "count", "n").collect()
     by: dict = {}
     for s, rule, kept_by, count, n in kept:
         by.setdefault(s, (n, {}))[1].setdefault(rule, {})[kept_by] = count
-    level = delta / (len(RULES) * max(1, len(by)))
+    level = delta / max(1, len(by))
     found = []
     for s, (n, rules) in sorted(by.items(), key=lambda x: (x[0] is None, x[0] or "")):
         cutoffs = {}
-        for rule, hist in rules.items():
-            grid = RULES[rule][1]
-            for i, cutoff in enumerate(grid):
+        apart = tail(n, 0, risk) <= level / len(RULES)
+        for tried in [[(r, i) for i in range(len(grid))] for r, (_, grid) in RULES.items()] if apart else [SEQUENCE]:
+            hist = rules[tried[0][0] if apart else JOINT]
+            for step, (rule, i) in enumerate(tried):
                 # cutoffs fall, so a document passes the first kept_by of them
-                rejected = sum(c for k, c in hist.items() if k <= i)
-                if tail(n, rejected, risk) > level:
+                rejected = sum(c for k, c in hist.items() if k <= step)
+                if tail(n, rejected, risk if apart else max_false_rejection) > (level / len(RULES) if apart else level):
                     break
-                cutoffs[rule] = float(cutoff)
+                cutoffs[rule] = float(RULES[rule][1][i])
         found.append((s, cutoffs))
     return found
 
