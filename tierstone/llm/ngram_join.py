@@ -4,7 +4,7 @@
 2. The number of sets that hold each shingle is counted over the whole corpus; it gives the global order, rarest first.
 3. Two sets with similarity of at least 0.8 share one of their ``n - ceil(0.8 n) + 1`` rarest shingles (prefix filter), so links only
    exist within a family: classes joined through shared prefix shingles. Shingles of one set only cannot be shared and are dropped.
-4. A family's classes meet once. The global order of its shingles is cut into fragments; partial overlaps are counted fragment
+4. A family's classes meet once. The hash order of its own shingles is cut into fragments; partial overlaps are counted fragment
    by fragment and summed per pair inside the task, and only links of a spanning forest leave it, never pairs.
    A family over ``BLOCK`` classes (or ``BLOCK_BYTES``) is cut into blocks, and each pair of blocks is a task: that is the exact way for hot groups.
 5. Components of the links, by large-star and small-star.
