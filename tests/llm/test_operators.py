@@ -302,6 +302,12 @@ def test_language_id(spark):
     assert language_id.codewords(20).shape[0] == 20
 
 
+def test_language_id_drops_no_language_unseen(spark):
+    docs = spark.createDataFrame([(i, "some words here", f"l{i % (language_id.MAX_LANGS + 1)}") for i in range(8 * (language_id.MAX_LANGS + 1))], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.op1(docs)
+
+
 def test_importance(spark):
     rng = random.Random(6)
     good = [(i, " ".join(rng.choices(["tree", "river", "stone", "cloud"], k=40))) for i in range(80)]

@@ -5,7 +5,7 @@ bytes). A text's language is the one whose codeword has the least loss, the bits
 languages take all distinct splits as bits; more take the best of some seeded random codes.
 
 Training reads at most ``MAX_TRAIN`` labelled texts (whole ones), the same share of each language up to MAX_TRAIN / languages,
-chosen by a hash of doc_id; that is the only sample. At most ``MAX_LANGS`` languages, the most frequent, are learnt.
+chosen by a hash of doc_id; that is the only sample. More than ``MAX_LANGS`` languages are an error.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0 and is not learnt from; a null lang is not learnt from; a
 null doc_id counts as held out; with no language to learn from everything is ``und``; repeated rows are rows like others; an empty table
@@ -98,7 +98,9 @@ AMBIGUOUS = 0.1
 
 def train(docs: DataFrame) -> Model:
     lab = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = dict(lab.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
+    counts = dict(lab.groupBy("lang").count().limit(MAX_LANGS + 1).collect())
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages to learn")
     each = MAX_TRAIN // max(1, len(counts))
     place = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)).cast("double") / float(1 << 30)
     share = F.lit(0.0)
