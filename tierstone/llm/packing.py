@@ -11,8 +11,9 @@
 Full pieces are sequences by themselves, so a hot length needs no common counter. The plan holds some thousand
 entries whatever the input.
 
-Edge cases: a null or empty text is one piece of the closing id 0; repeated rows are packed each; a null doc_id stays null; an empty
-table gives an empty result; other columns are ignored.
+Edge cases: a null or empty text is one piece of the closing id 0; a very long text is tokenised whole and cut into pieces; pieces of
+equal length are alike, so a tie changes which of them shares a sequence and never the number of sequences; repeated rows are packed
+each; a null doc_id stays null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,11 +42,9 @@ def pieces(docs: DataFrame, path: str | None = None, seq: int = SEQ) -> DataFram
         tokens, seen, task = load(path), Counter(), TaskContext.get().partitionId()
         for part in slices(batches):
             ids, texts = part.column(0).to_pylist(), texts_of(part.column(1))
-            texts = [t or b"" for t in texts]
-            tokens.warm(texts)
             rows = []
-            for i, text in zip(ids, texts):
-                raw = tokens.ids(text) + END
+            for i, raw in zip(ids, tokens.batch([t or b"" for t in texts])):
+                raw += END
                 n = len(raw) // 4
                 for p, start in enumerate(range(0, n, seq)):
                     length = min(seq, n - start)

@@ -11,11 +11,18 @@ import re
 
 import numpy as np
 
+from .util import cache
+
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 400_000
+#: A cache that has grown to this many entries becomes the old generation; entries used again move on from it.
+CACHE_WORDS = 200_000
+#: Chunks over this many bytes are not kept beyond the call that met them.
+LONG = 64
 #: Printable ASCII and the letters of Latin-1, for which the quick path below is exact.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\s]+")
+_UNPLAIN = re.compile(r"[^ !-~À-ÖØ-öø-ÿ]|<\|")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\s]+| ")
+#: No token has this id; it marks the end of a chunk.
+_GAP = b"\xff\xff\xff\xff"
 
 
 def default_path() -> str:
@@ -42,62 +49,82 @@ class WordTokens:
         for token, i in self.full.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.letters = _byte_letters()
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = Generations(), Generations()
+        self.words.now[" "] = _GAP
 
     def ids(self, text: bytes) -> bytes:
-        chunks = text.split() if b"<|" in text else text.lower().split()
-        if len(self.chunks) > CACHE_WORDS:
-            self.chunks = {}
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        new = set(chunks).difference(self.chunks)
-        long = {c: ids for c, ids in self._learn(new).items() if len(c) > 64} if new else {}
-        if long:
-            return b"".join([long[c] if c in long else self.chunks[c] for c in chunks])
-        return b"".join(map(self.chunks.__getitem__, chunks))
-
-    def warm(self, texts: list[bytes]) -> None:
-        """Learn the chunks of many texts at once."""
-        new: set[bytes] = set()
-        for t in texts:
-            if b"<|" not in t:
-                new.update(t.lower().split())
-        self._learn({c for c in new if len(c) <= 64}.difference(self.chunks))
-
-    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        plain: dict[bytes, list[str]] = {}
-        out: dict[bytes, bytes] = {}
-        for c in new:
-            s = c.decode("utf-8")
-            if "<|" not in s and _PLAIN.match(s):
-                plain[c] = _PIECES.findall(s.lower())
-            else:
-                out[c] = np.array(self.full.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        words = [w for w in {w for ws in plain.values() for w in ws} if w not in self.words]
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; unknown chunks of all of them are learnt together."""
+        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
+        new = self.chunks.lacking(set().union(*split))
+        long = [c for c in new if len(c) > LONG]
+        self._learn(list(new))
+        known = self.chunks.now.__getitem__
+        out = [b"".join(map(known, chunks)) for chunks in split]
+        for c in long:
+            del self.chunks.now[c]
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            text = b" ".join(part).decode("utf-8")
+            if _UNPLAIN.search(text):
+                plain = []
+                for c in part:
+                    s = c.decode("utf-8")
+                    if _UNPLAIN.search(s):
+                        self.chunks.now[c] = np.array(self.full.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+                    else:
+                        plain.append(c)
+                part, text = plain, b" ".join(plain).decode("utf-8")
+            if part:
+                self._learn_plain(part, text)
+
+    def _learn_plain(self, part: list[bytes], text: str) -> None:
+        """``text`` is the chunks of ``part``, parted by single spaces. Its words are looked up in turn, and a mark stands for each space."""
+        pieces = _PIECES.findall(text.lower())
+        words = list(self.words.lacking(set(pieces)))
         for i in range(0, len(words), 2000):
             self._learn_words(words[i : i + 2000])
-        for c, ws in plain.items():
-            out[c] = self.words[ws[0]] if len(ws) == 1 else b"".join([self.words[w] for w in ws])
-        self.chunks.update((c, ids) for c, ids in out.items() if len(c) <= 64)
-        return out
+        raw = b"".join(map(self.words.now.__getitem__, pieces))
+        gaps = np.flatnonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF) * 4
+        starts, ends = [0, *(gaps + 4).tolist()], [*gaps.tolist(), len(raw)]
+        self.chunks.now.update(zip(part, [raw[a:b] for a, b in zip(starts, ends)]))
 
     def _learn_words(self, words: list[str]) -> None:
         spelled = [w if w.isascii() else "".join([self.letters[b] for b in w.encode()]) for w in words]
-        ids = np.array(self.bare.encode(" ".join(spelled), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.bare.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)[0].ids, "<u4")
         last = np.flatnonzero(self.ends[ids]) + 1
         assert len(last) == len(words), "a word has no end token"
-        raw, start = ids.tobytes(), 0
-        for w, end in zip(words, (last * 4).tolist()):
-            self.words[w] = raw[start:end]
-            start = end
+        raw = ids.tobytes()
+        stops = (last * 4).tolist()
+        self.words.now.update(zip(words, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+
+
+class Generations:
+    """A bounded cache. When it is full, what it holds becomes the old generation, from which entries that are used again come back."""
 
+    def __init__(self) -> None:
+        self.now: dict = {}
+        self.old: dict = {}
 
-_loaded: dict[str, WordTokens] = {}
+    def lacking(self, wanted: set) -> set:
+        """What of ``wanted`` is not known; all the rest is in ``now`` after the call."""
+        if len(self.now) > CACHE_WORDS:
+            self.old, self.now = self.now, {" ": _GAP}
+        new = wanted.difference(self.now)
+        back = new.intersection(self.old) if self.old else ()
+        for x in back:
+            self.now[x] = self.old[x]
+        return new.difference(back) if back else new
 
 
 def load(path: str) -> WordTokens:
     """One per Python worker."""
-    if path not in _loaded:
-        _loaded[path] = WordTokens(path)
-    return _loaded[path]
+    loaded = cache("tokens")
+    if path not in loaded:
+        loaded[path] = WordTokens(path)
+    return loaded[path]

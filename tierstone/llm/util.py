@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -18,12 +19,16 @@ SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 
 _local: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
+_owners: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local session (as in tests) gets a temporary
+    folder, and a cluster an error, because its executors would not see the driver's folders."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local.get("dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _local["dir"] = tempfile.mkdtemp(prefix="tierstone-")
     return base.rstrip("/")
 
@@ -31,9 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/tierstone/{tag}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    for owned in _owners:
+        owned.append((spark, path))
     return path
 
 
+@contextlib.contextmanager
+def owned() -> Iterator[list[tuple[SparkSession, str]]]:
+    """The folders that the block asks for, so that its caller can delete these and no others."""
+    mine: list[tuple[SparkSession, str]] = []
+    _owners.append(mine)
+    try:
+        yield mine
+    finally:
+        _owners[:] = [x for x in _owners if x is not mine]
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -66,14 +84,6 @@ def discard(*tables: DataFrame) -> None:
         delete_path(df.sparkSession, df._written_to)
 
 
-def discard_all(spark: SparkSession, keep: str = "pipeline-") -> None:
-    """Delete every table written so far but those whose tag begins with ``keep``: for callers that have written their own result."""
-    for at in [x for x in _written if f"/tierstone/{keep}" not in x[1]]:
-        _written.remove(at)
-        delete_path(spark, at[1])
-    release(spark)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
     gc.collect()
@@ -106,6 +116,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache(name: str) -> dict:
+    """A Python worker's cache for one kind of work; what other kinds left in the same worker goes."""
+    for other in [n for n in _caches if n != name]:
+        del _caches[other]
+    return _caches.setdefault(name, {})
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
