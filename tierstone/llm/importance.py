@@ -1,14 +1,15 @@
 """Quality classifier by importance resampling.
 
-Two generative models of hashed word n-grams (one and two words), one of the target texts (documents labelled good) and one of all
-texts; a document's log weight is the sum of its n-grams' log ratios. Sampling without replacement in
+Two generative models of hashed word n-grams (one and two words), one of all texts and one of the target texts: documents labelled good, of
+which at most about ``MAX_TARGET`` are used, chosen by a hash of doc_id; that is the only sample, and its ids alone are broadcast, so texts
+stay where they are. A document's log weight is the sum of its n-grams' log ratios. Sampling without replacement in
 proportion to the weights is taking the k largest of log weight + Gumbel noise. The noise is a seeded hash of doc_id; k is the share of good
 ones among the labelled documents (or ``share``), of all documents. The k-th largest is found by histograms of the ordered keys, 4096 counts at a
 time, so nothing is sorted or gathered.
 
-Edge cases: a text without words has weight null and is not taken; keys equal to the k-th are all taken; without labels everything
-with words is taken; null or repeated labels of a document: it is good if any label is 1; repeated rows are judged alike; an
-empty table gives an empty result; other columns are ignored.
+Edge cases: a null, empty or all-white text has weight null and is not taken; a very long text is read whole; keys equal to the k-th are
+all taken; without labels everything with words is taken; null or repeated labels of a document: it is good if any label is 1; repeated rows
+are judged alike and each counts; a null doc_id has no label; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import mix64, slices, texts_of, written
+from .util import checked_broadcast, mix64, slices, texts_of, written
 
 BUCKETS, SMOOTH, SEED = 10_000, 1.0, "gumbel-1"
+#: About so many documents labelled good fit the target model (all of them, where there are fewer).
+MAX_TARGET = 100_000
 
 
 def grams(text: bytes | None, known: dict[bytes, int]) -> np.ndarray:
@@ -39,10 +42,21 @@ def _trim(known: dict) -> dict:
     return {} if len(known) > 300_000 else known
 
 
-def models(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+def targets(labels: DataFrame, most: int = MAX_TARGET) -> tuple[DataFrame, int]:
+    """The ids (__good) of the target documents, and their number."""
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__good")).distinct()
+    n = good.count()
+    if n > most:
+        good = good.filter(F.pmod(F.xxhash64("__good", F.lit("target")), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+        good = written(good, "importance-targets")
+        n = good.count()
+    return good, n
+
+
+def models(docs: DataFrame, labels: DataFrame, most: int = MAX_TARGET) -> np.ndarray:
     """Log ratio of target to raw per bucket. Each task adds up its own counts; 2 x BUCKETS sums reach the driver."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("good", F.lit(1))
-    both = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(0)).alias("good"))
+    good, n = targets(labels, most)
+    both = docs.select("doc_id", "text").join(checked_broadcast(good, n, 2 * most), F.col("doc_id") == F.col("__good"), "left").select("text", F.col("__good").isNotNull().alias("good"))
 
     def run(batches):
         counts, known = np.zeros((2, BUCKETS), np.int64), {}
