@@ -4,12 +4,13 @@ Each language has a codeword; each bit has a binary classifier (logistic regress
 bytes). A text's language is the one whose codeword has the least loss, the bits weighted by how well they were learnt. Up to seven
 languages take all distinct splits as bits; more take the best of some seeded random codes.
 
-Training reads at most ``MAX_TRAIN`` labelled texts (whole ones), the same share of each language up to MAX_TRAIN / languages,
-chosen by a hash of doc_id; that is the only sample. More than ``MAX_LANGS`` languages are an error.
+Training reads at most ``MAX_TRAIN`` labelled texts (whole ones; one of each language, where there are more languages than that): the same
+number of each language, or all it has, the first by a hash of doc_id. That is the only sample, and no language is left out of it.
 
-Edge cases: a null text or one without a letter is ``und`` with score 0 and is not learnt from; a null lang is not learnt from; a
-null doc_id counts as held out; with no language to learn from everything is ``und``; repeated rows are rows like others; an empty table
-gives an empty result; other columns are ignored.
+Edge cases: a null or empty text or one without a letter is ``und`` with score 0 and is not learnt from; a very long text is read whole; a
+null lang is not learnt from; of languages with equal loss the first in code point order is predicted (and the text flagged as
+ambiguous); a null doc_id counts as held out; with no language to learn from everything is ``und``; repeated rows are rows like others;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import slices
+from .util import checked_broadcast, slices, written
 
-BUCKETS, MAX_TRAIN, MAX_LANGS, FOLDS, BITS = 2048, 2000, 256, 5, 64
+BUCKETS, MAX_TRAIN, FOLDS, BITS = 2048, 2000, 5, 64
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII letters stay, all other ASCII becomes a space; bytes above stay.
 _TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -96,27 +97,32 @@ class Model:
 AMBIGUOUS = 0.1
 
 
-def train(docs: DataFrame) -> Model:
-    lab = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = dict(lab.groupBy("lang").count().limit(MAX_LANGS + 1).collect())
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages to learn")
-    each = MAX_TRAIN // max(1, len(counts))
+def sample(docs: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
+    """lang, place and features of the texts to learn from."""
+    lab = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = written(lab.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
+    k = counts.count()
+    each = max(1, most // max(1, k))
     place = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(share)
-    picked = lab.select("lang", "text", place.alias("place")).filter(place < share)
+    # about three times as many as are wanted of each language go on, all of a rare one; then the first of each are taken
+    shares = counts.select(F.col("lang").alias("__lang"), F.least(F.lit(1.0), F.lit(3.0 * each + 30) / F.col("n")).alias("__share"))
+    near = lab.select("lang", "text", place.alias("place")).join(checked_broadcast(shares, k, 100_000), F.col("lang") == F.col("__lang")).filter("place < __share").select("lang", "text", "place")
 
     def run(batches):
         for part in slices(batches):
-            keep = [(lang, p, features(t)) for lang, t, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()) if has_letter(t)]
+            keep = [(lang, p, features(t)) for lang, t, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.string()), pa.array([k[1] for k in keep], pa.float64()), pa.array([k[2].tobytes() for k in keep], pa.binary())], names=["lang", "place", "x"])
 
-    rows = picked.mapInArrow(run, "lang string, place double, x binary").orderBy("place", "lang", "x").limit(MAX_TRAIN).collect()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "x"))
+    return near.mapInArrow(run, "lang string, place double, x binary").withColumn("i", first).filter(F.col("i") <= each).drop("i")
+
+
+def train(docs: DataFrame, most: int = MAX_TRAIN) -> Model:
+    rows = sorted((r[0], r[1], bytes(r[2])) for r in sample(docs, most).collect())
     langs = sorted({r[0] for r in rows})
+    place = {lang: i for i, lang in enumerate(langs)}
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, BUCKETS).astype(np.float64)
-    return Model(langs, x, np.array([langs.index(r[0]) for r in rows], int))
+    return Model(langs, x, np.array([place[r[0]] for r in rows], int))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
