@@ -8,7 +8,8 @@ has the cutoffs of all rules tried in one fixed sequence (``SEQUENCE``), and all
 first failure, needs no correction over cutoffs; strata and rules are corrected for by Bonferroni.
 Hence, with probability ``1 - delta``, no stratum loses more than ``max_false_rejection`` of its good documents.
 
-Edge cases: a null text has no words and fails the base rules; a null stratum is a stratum of its own; a stratum with
+Edge cases: a null, empty or all-white text has no words and fails the base rules; a very long text is read whole; a score equal to its cutoff
+passes; repeated rows of documents are judged alike, and each counts as a holdout document; a null stratum is a stratum of its own; a stratum with
 too few labels gets no cutoffs, so only the base rules act there; null labels are ignored; labels repeated for a
 document count once, and a document labelled both ways counts as good; an empty table gives an empty result; other columns are ignored.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import checked_broadcast, slices, texts_of, written
+from .util import cache, checked_broadcast, slices, texts_of, written
 
 SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
@@ -71,14 +72,15 @@ def text_metrics(b: bytes | None) -> tuple[int, ...]:
     return n, chars, sum(b.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeats, len(lines), len(b) - len(b.translate(None, _UPPER)), b.count(b"!")
 
 
-def with_metrics(docs: DataFrame) -> DataFrame:
+def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with METRICS appended (in place of columns of those names)."""
     docs = docs.drop(*METRICS)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(m, T.LongType()) for m in METRICS)])
-    at = docs.columns.index("text")
+    at = docs.columns.index(text)
 
     def run(batches):
-        for part in slices(batches):
+        cache("metrics")
+        for part in slices(batches, text):
             rows = np.array([text_metrics(b) for b in texts_of(part.column(at))], np.int64).reshape(-1, len(METRICS))
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(rows[:, i]) for i in range(len(METRICS)))], names=[*part.schema.names, *METRICS])
 
@@ -156,6 +158,8 @@ def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, in their own columns."""
-    cutoffs = calibrate(with_metrics(docs.select("doc_id", "lang", "text")).drop("text"), labels)
-    return judge(with_metrics(docs), cutoffs).filter("kept").select(docs.columns)
+    """The rows of ``docs`` that pass, in their own columns. Texts are measured once; rows and their metrics are written together."""
+    columns = docs.columns
+    whole = docs.select(*(F.col(c).alias(f"__own_{c}") for c in columns), "doc_id", "lang")
+    rows = written(with_metrics(whole, "__own_text"), "quality-rows")
+    return judge(rows, calibrate(rows, labels)).filter("kept").select(*(F.col(f"__own_{c}").alias(c) for c in columns))
