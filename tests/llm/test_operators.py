@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tierstone.llm import chunks, components, exact_dedup, importance, language_id, mixing, ngram_join, packing, quality_rules, substring_dedup, token_counts, util, warc
+from tierstone.llm import chunks, exact_dedup, importance, language_id, mixing, ngram_join, packing, quality_rules, substring_dedup, token_counts, util, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_words long, kept boolean, target double, label string"
 
@@ -51,6 +51,22 @@ def labels(spark):
     return spark.createDataFrame([(i, 1 if i % 3 else 0, 0) for i in range(60)] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
 
 
+class Forest:
+    """Union-find whose roots are the smallest members."""
+
+    def __init__(self):
+        self.up = {}
+
+    def root(self, x):
+        while self.up.setdefault(x, x) != x:
+            x = self.up[x]
+        return x
+
+    def join(self, a, b):
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+
+
 def bag(rows):
     return Counter(map(str, rows))
 
@@ -105,6 +121,21 @@ def test_mixing(docs):
     assert mixing.mix(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("ids", ["cast(null as long)", "5L", "id"])
+def test_mixing_ties(spark, ids):
+    rows = spark.range(1000).selectExpr(f"{ids} AS doc_id", "'s' AS source", "repeat('word ', 100) AS text").repartition(3)
+    got = mixing.op8(rows).collect()
+    assert len(got) == 1000 and abs(sum(r["taken"] for r in got) - 150_000) <= 100 and {r["taken"] for r in got} == {100, 200}
+    assert mixing.mix(rows).count() in (1499, 1500, 1501)
+    # ties amid other documents, against one pass in order
+    few = spark.range(40).selectExpr(f"{ids} AS doc_id", "'s' AS source", "repeat('word ', 100) AS text")
+    mixed = few.unionByName(spark.range(300).selectExpr("id AS doc_id", "if(id % 3 = 0, 't', 's') AS source", "repeat(concat('w', id, ' '), cast(id % 37 as int)) AS text"))
+    con = __import__("duckdb").connect()
+    documents = mixed.toArrow()  # noqa: F841
+    want = con.sql(mixing.SQL).fetchall()
+    assert bag(tuple(r) for r in mixing.op8(mixed).collect()) == bag(want)
+
+
 def test_quality_metrics_and_risk(docs, labels):
     got = quality_rules.op7(docs, labels).collect()
     want = []
@@ -150,12 +181,8 @@ def test_ngram_join(docs, block):
     rows = util.with_row_id(docs.select("doc_id", "text"), "t")
     got = ngram_join.join(rows, block=block).join(rows, "__rid").collect()
 
-    def shingles(t):
-        w = [x.lower() for x in words(t)]
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
     sets = [shingles(r["text"]) for r in got]
-    forest = components.Forest()
+    forest = Forest()
     for i, a in enumerate(sets):
         for j in range(i):
             if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
@@ -165,12 +192,64 @@ def test_ngram_join(docs, block):
     assert len(set(zip(labels, map(forest.root, range(len(got)))))) == len(set(labels)) == len(set(map(forest.root, range(len(got)))))
 
 
+def shingles(t):
+    w = [x.lower() for x in words(t)]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_ngram_component_ids(docs):
-    got = {r["doc_id"]: r for r in ngram_join.op6(docs).collect() if r["doc_id"] is not None}
-    assert got[0]["component_id"] == 0 and got[31]["component_id"] == 0
+    sets, forest = [shingles(r[1]) for r in ROWS], Forest()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                forest.join(i, j)
+    least = {}
+    for i, r in enumerate(ROWS):
+        if r[0] is not None:
+            root = forest.root(i)
+            least[root] = min(least.get(root, r[0]), r[0])
+    want = [(r[0], len(sets[i]), least.get(forest.root(i))) for i, r in enumerate(ROWS)]
+    assert bag(map(tuple, ngram_join.op6(docs).collect())) == bag(want)
     assert ngram_join.keep_one(docs).columns == docs.columns
 
 
+def test_ngram_partial_overlaps_sum_to_the_whole():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**64 - 1, 40, dtype=np.uint64)[rng.integers(0, 40, 60)]) for _ in range(3)] + [np.zeros(0, np.uint64)]
+    sets += [np.union1d(sets[0][:20], sets[1][5:]), sets[0]]
+    whole = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (ngram_join.partial_overlaps(sets, sets) == whole).all()
+    octaves = [np.bincount([3] * (len(s) // 2) + [5] * (len(s) - len(s) // 2), minlength=ngram_join.OCTAVES) for s in sets]
+    parts = [ngram_join.fragment_of(s, o, sum(octaves).astype(float)) for s, o in zip(sets, octaves)]
+    assert all((np.diff(p[: len(s) // 2]) >= 0).all() and (np.diff(p[len(s) // 2 :]) >= 0).all() for p, s in zip(parts, sets))
+    assert {int(f) for p in parts for f in p} == set(range(ngram_join.FRAGMENTS))
+    linked = np.zeros((7, 7), bool)
+    for i, j in ((0, 3), (3, 5), (2, 6)):
+        linked[i, j] = linked[j, i] = True
+    assert sorted(ngram_join.spanning_stars(linked)) == [(3, 0), (5, 0), (6, 2)]
+
+
+def test_ngram_dense_family_in_bounded_memory():
+    import tracemalloc
+
+    base = np.arange(1, 200, dtype=np.uint64) * np.uint64(2**50)
+    members = [np.sort(np.concatenate([base, [np.uint64(i * 7 + 3)]])) for i in range(1024)]
+    tracemalloc.start()
+    overlaps = ngram_join.partial_overlaps(members, members)
+    stars = list(ngram_join.spanning_stars(overlaps > 190))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(stars) == 1023 and peak < 60 << 20
+
+
+def test_ngram_family_of_many_near_copies(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(i, " ".join(base[:i % 100 + 10] + [f"x{i}"] + base[i % 100 + 10 :])) for i in range(2300)] + [(5000, " ".join(base[:60])), (5001, "some other words in a text of its own")]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.op6(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[i] == 0 for i in range(2300)) and got[5000] == 5000 and got[5001] == 5001
+
+
 def test_hot_key_is_one_entry_per_chunk(spark):
     made = chunks.write_chunks(spark.createDataFrame([(i, "five words that all share") for i in range(500)], "i long, t string").coalesce(2))
     assert ngram_join._entries(made, 4).count() == made.count() <= 2
@@ -284,6 +363,42 @@ def test_token_counts(spark, docs, tmp_path):
     assert {r["lang"] for r in roll.totals().collect()} == {"zz"}
 
 
+def test_token_counts_against_the_tokenizer(docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tierstone.llm.tokens import TOKENIZER, default_path
+
+    tok, want = Tokenizer.from_file(default_path()), defaultdict(lambda: [0, 0, 0])
+    for r in ROWS:
+        s = want[r[3], r[2], TOKENIZER]
+        s[0] += 1
+        s[1] += len(tok.encode(r[1] or "", add_special_tokens=False).ids)
+        s[2] += len((r[1] or "").encode())
+    assert bag(map(tuple, token_counts.op3(docs).collect())) == bag((*k, *v) for k, v in want.items())
+    # deletes and revisions, counted apart
+    spark, gone = docs.sparkSession, docs.filter("source = 's2'")
+    roll = token_counts.Rollup(spark, f"{tmp_path}/r")
+    roll.commit("in", token_counts.counted(docs))
+    roll.commit("out", token_counts.counted(gone, sign=-1))
+    assert bag(map(tuple, roll.totals().collect())) == bag((*k, *v) for k, v in want.items() if k[0] != "s2")
+    french = docs.filter("lang = 'fr'")
+    roll.commit("revised", token_counts.revised(french, french.withColumn("text", F.lit("one two"))))
+    two = len(tok.encode("one two", add_special_tokens=False).ids)
+    expected = {k: list(v) for k, v in want.items() if k[0] != "s2"}
+    for k in [k for k in want if k[1] == "fr"]:
+        a, b = expected.get(k, [0, 0, 0]), want[k]
+        expected[k] = [a[0], a[1] - b[1] + two * b[0], a[2] - b[2] + 7 * b[0]]
+    assert bag(map(tuple, roll.totals().collect())) == bag((*k, *v) for k, v in expected.items() if any(v))
+
+
+def test_token_counts_commit_that_loses_a_race(spark, docs, tmp_path):
+    roll, changes = token_counts.Rollup(spark, f"{tmp_path}/r"), token_counts.counted(docs)
+    late = token_counts.Rollup(spark, f"{tmp_path}/r")
+    late.committed = lambda _: roll.commit("a", changes) and False  # another writer publishes between the look and the rename
+    assert not late.commit("a", changes)
+    assert sum(r["n_docs"] for r in roll.totals().collect()) == len(ROWS)
+
+
 def test_language_id(spark):
     rng = random.Random(5)
     made = [("aa", "abcde "), ("bb", "vwxyz "), ("cc", "éèàçù "), ("dd", "mnopq ")]
@@ -302,10 +417,35 @@ def test_language_id(spark):
     assert language_id.codewords(20).shape[0] == 20
 
 
-def test_language_id_drops_no_language_unseen(spark):
-    docs = spark.createDataFrame([(i, "some words here", f"l{i % (language_id.MAX_LANGS + 1)}") for i in range(8 * (language_id.MAX_LANGS + 1))], "doc_id long, text string, lang string")
-    with pytest.raises(ValueError):
-        language_id.op1(docs)
+def test_language_id_learns_every_language(spark):
+    # 300 languages, one of them with nearly all documents; each is written with a syllable of its own
+    syllable = lambda k: "".join("bcdfghjklmnpqrstvwxz"[d] + "aeiou"[e] for d, e in ((k % 20, k // 20 % 5), (k // 100 + 5, k % 5)))
+    rows = [(k * 20 + i, " ".join([syllable(k)] * 30), f"l{k:03d}") for k in range(300) for i in range(12)] + [(10_000 + i, syllable(0) * 30, "l000") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = Counter(r["lang"] for r in language_id.sample(docs).collect())
+    assert len(counts) == 300 and max(counts.values()) <= language_id.MAX_TRAIN // 300 and sum(counts.values()) <= language_id.MAX_TRAIN
+    assert len({r["lang"] for r in language_id.sample(docs, 50).collect()}) == 300
+
+
+def test_language_id_decoding(spark):
+    rng = random.Random(5)
+    made = [("aa", "abcde "), ("bb", "abxyz "), ("cc", "éèabç "), ("dd", "abnop ")]
+    rows = [(i, "".join(rng.choices(made[i % 4][1], k=60)), made[i % 4][0]) for i in range(200)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, lang string").withColumn("score", F.lit(2)).withColumn("place", F.lit("x"))
+    model = language_id.train(docs)
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    for i, text, _ in rows:
+        raw, grams = b" " + text.lower().encode() + b" ", Counter()
+        for n, m in ((1, 2654435761), (2, 2246822519), (3, 3266489917)):
+            for j in range(len(raw) - n + 1):
+                grams[((int.from_bytes(raw[j : j + n], "little") * m + (m >> 7)) % 2**32) >> 21] += 1
+        total = sum(grams.values())
+        x = 20 * (np.array([(grams[b] / total) ** 0.5 for b in range(2048)]) - model.mean)
+        margins = [x.dot(model.weights[:2048, bit]) + model.weights[2048, bit] for bit in range(len(model.trust))]
+        losses = [sum(t * np.log1p(np.exp(-m * side)) for t, m, side in zip(model.trust, margins, word)) for word in model.code]
+        best = min(range(len(losses)), key=losses.__getitem__)
+        assert got[i]["lang_pred"] == model.langs[best]
+        assert got[i]["score"] == pytest.approx(1 / sum(np.exp(losses[best] - v) for v in losses), abs=1e-4)
 
 
 def test_importance(spark):
@@ -318,6 +458,41 @@ def test_importance(spark):
     assert all(got[i] for i, _ in good) and sum(got[i] for i, _ in bad) <= 2 and not got[500] and not got[501]  # k is 82
 
 
+@pytest.mark.parametrize("most", [100_000, 12])
+def test_importance_weights_and_keys(docs, labels, most, monkeypatch):
+    import xxhash
+
+    monkeypatch.setattr(importance, "MAX_TARGET", most)
+    odd = docs.withColumns({"good": F.lit("x"), "log_weight": F.lit(1), "v": F.lit(2)})
+    m64 = lambda x: int(util.mix64(np.array([x % 2**64], np.uint64))[0])
+
+    def grams(t):
+        h = [xxhash.xxh3_64_intdigest(w) for w in (t or "").encode().lower().split()]
+        return [x % 10_000 for x in h] + [m64(a * 0x9E3779B97F4A7C15 + b) % 10_000 for a, b in zip(h, h[1:])]
+
+    ids, n = importance.targets(labels, most)
+    good = {r[0] for r in ids.collect()}
+    assert len(good) == n and (most < 100 or good == {i for i in range(60) if i % 3})
+    raw, target = Counter(), Counter()
+    for r in ROWS:
+        raw.update(grams(r[1]))
+        if r[0] in good:
+            target.update(grams(r[1]))
+    ratio = importance.models(odd, labels, most)
+    norm = lambda c: np.log([c[b] + 1 for b in range(10_000)]) - np.log(sum(c.values()) + 10_000)
+    assert np.allclose(ratio, norm(target) - norm(raw))
+    got = importance.op9(odd, labels).collect()
+    weights = [ratio[grams(r[1])].sum() if grams(r[1]) else None for r in ROWS]
+    key = lambda w: None if w is None else round(float(w), 6)
+    if most > 100:
+        assert bag((r["doc_id"], key(r["log_weight"])) for r in got) == bag((r[0], key(w)) for r, w in zip(ROWS, weights))
+        draws = {r["doc_id"]: r["gumbel_key"] - r["log_weight"] for r in got if r["log_weight"] is not None}
+        assert -2 < np.mean(list(draws.values())) - 0.5772 < 0.6 and len(set(draws.values())) == len(draws)
+        k = round(40 / 60 * len(ROWS))
+        order = sorted((r["gumbel_key"] for r in got if r["gumbel_key"] is not None), reverse=True)
+        assert all(r["kept"] == (r["gumbel_key"] is not None and r["gumbel_key"] >= order[min(k, len(order)) - 1]) for r in got)
+
+
 def test_kth_largest(spark):
     values = [random.Random(9).gauss(0, 10**6) for _ in range(3000)] + [5.0] * 100 + [None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
