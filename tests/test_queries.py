@@ -25,6 +25,6 @@ def test_whole_merges_read_every_write(spark, tmp_path):
     # 5,000 writes, a key per write; every seventh is a delete
     spark.range(5000).selectExpr("id AS event_id", f"{ts} AS ts", "id AS user_id", "if(id % 7 = 0, 'error', 'click') AS event_type", "1.0D AS value", "'' AS props").write.parquet(f"{tmp_path}/events.parquet")
     deletes = len(range(0, 5000, 7))
-    assert QUERIES["merge_whole_keep_tombstones"](spark, str(tmp_path)).count() == 5000
-    assert QUERIES["merge_whole_drop_tombstones"](spark, str(tmp_path)).count() == 5000 - deletes
-    assert QUERIES["as_of_half"](spark, str(tmp_path)).count() == 2500 - len(range(0, 2500, 7))
+    assert QUERIES["merge_keep_tombstones"](spark, str(tmp_path)).count() == 5000
+    assert QUERIES["merge_drop_tombstones"](spark, str(tmp_path)).count() == 5000 - deletes
+    assert QUERIES["as_of_state"](spark, str(tmp_path)).count() == 2500 - len(range(0, 2500, 7))

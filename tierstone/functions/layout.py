@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 PAGE_BYTES, ENTRY_BYTES, POINTER_BYTES = 4096, 16, 8
 PER_PAGE, FANOUT = PAGE_BYTES // ENTRY_BYTES, PAGE_BYTES // POINTER_BYTES
 
@@ -39,6 +39,23 @@ def node_page(depth: int, node: int, entries: int) -> int:
     return first_page_at(depth, entries) + node
 
 
+def subtree_height(depth: int, entries: int) -> int:
+    """Levels of nodes from a node at ``depth`` down to its leaves."""
+    return tree_depth(entries) - depth
+
+
+def node_byte(depth: int, node: int, entries: int) -> int:
+    """Where a node's page begins in a file of pages from the root down."""
+    return node_page(depth, node, entries) * PAGE_BYTES
+
+
+def seek(index: int, entries: int) -> tuple[int, int]:
+    """(page, byte in the page) of an entry's index."""
+    if not 0 <= index < entries:
+        raise ValueError(f"no entry {index} among {entries}")
+    return index // PER_PAGE, index % PER_PAGE * ENTRY_BYTES
+
+
 def tree_shape(sizes: DataFrame) -> DataFrame:
     """``sizes`` (entries) with pages, depth and inner nodes, for trees of up to four levels."""
     leaves = F.ceil(F.col("entries") / PER_PAGE)
@@ -53,17 +70,15 @@ def place(index: Column) -> Column:
     return F.struct(F.floor(index / PER_PAGE).alias("page"), (index % PER_PAGE).alias("offset"))
 
 
-def ranked(entries: DataFrame, parts: int = 64) -> DataFrame:
-    """``entries`` with the 0-based ``index`` of each key in ascending order. Keys are dealt into ranges of their values first, ranks are taken
-    inside a range, and only the ranges' counts meet in one task."""
-    low, high = entries.agg(F.min("key"), F.max("key")).first()
-    if low is None:
-        return entries.withColumn("index", F.lit(0).cast("long"))
-    width = max(1, math.ceil((high - low + 1) / parts))
-    dealt = entries.withColumn("part", F.floor((F.col("key") - F.lit(low)) / F.lit(width)))
-    before = dealt.groupBy("part").count().withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count")).drop("count")
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
-    return dealt.withColumn("inside", inside).join(before, "part").withColumn("index", (F.col("inside") + F.col("before")).cast("long")).drop("part", "inside", "before")
+def ranked(entries: DataFrame) -> DataFrame:
+    """``entries`` with the 0-based ``index`` of each key in ascending order. Sampled splitters deal the keys into sorted ranges, written once; a row's
+    place in its range is known from the write, and only the ranges' counts meet in one task."""
+    dealt = written(entries.repartitionByRange("key").sortWithinPartitions("key").withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__at", 33)
+    counts = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    # one row per task of the write
+    return dealt.join(F.broadcast(before), part == F.col("__part")).withColumn("index", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before")).drop("__at", "__part", "__before")
 
 
 def fences(entries: DataFrame, per_page: int = PER_PAGE) -> DataFrame:

@@ -20,7 +20,9 @@ def visible(log: DataFrame) -> DataFrame:
 
 
 def get(log: DataFrame, key: int) -> DataFrame:
-    return visible(log.filter(F.col("key") == key))
+    """At most one row (key, value). One global aggregate: a partial row per task, and no shuffle by key."""
+    last = log.filter(F.col("key") == key).agg(F.max_by("value", "seq").alias("value"), F.max_by("is_delete", "seq").alias("is_delete"))
+    return last.filter(~F.col("is_delete")).select(F.lit(key).cast("long").alias("key"), "value")
 
 
 def scan(log: DataFrame, low: int, high: int) -> DataFrame:
@@ -40,14 +42,39 @@ def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:
     return wanted.join(found, "key", "left")
 
 
-def multi_scan(log: DataFrame, ranges: DataFrame, width: int = 1024) -> DataFrame:
-    """``ranges`` (range_id, low, high) with the entries in each. Ranges are cut into cells of ``width`` keys, so the join is by cell and not by
-    comparing every range with every key; a range pays for its own cells only."""
-    cell = F.floor(F.col("key") / width)
-    cells = ranges.filter("low <= high").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
-    # every key of a cell is in or out with its cell, so cutting the log by cell before the aggregation loses no version
-    near = visible(log.withColumn("cell", cell).join(cells.select("cell").distinct(), "cell", "left_semi"))
-    return near.withColumn("cell", cell).join(cells, "cell").filter(F.col("key").between(F.col("low"), F.col("high"))).select("range_id", "key", "value")
+#: Fixed value: levels of a 64-bit key space in which a cell is twice as wide as in the one before.
+LEVELS = 64
+#: Cells that may be broadcast.
+MOST_CELLS = 200_000
+
+
+def dyadic_cells(ranges: DataFrame) -> DataFrame:
+    """Each range (low <= high) as disjoint cells (level, cell) of 2 ** level keys, two of a level at most: 126 for the widest range."""
+    step = """aggregate(sequence(0, 63), struct(low AS lo, high AS hi, cast(array() AS array<struct<level: int, cell: bigint>>) AS cells), (s, l) -> struct(
+        shiftright(s.lo, 1) + (s.lo & 1) AS lo,
+        shiftright(s.hi, 1) - (1 - (s.hi & 1)) AS hi,
+        concat(s.cells,
+               if(s.lo <= s.hi AND (s.lo & 1) = 1, array(struct(l AS level, s.lo AS cell)), cast(array() AS array<struct<level: int, cell: bigint>>)),
+               if(s.lo <= s.hi AND (s.hi & 1) = 0, array(struct(l AS level, s.hi AS cell)), cast(array() AS array<struct<level: int, cell: bigint>>))) AS cells), s -> s.cells)"""
+    return ranges.filter("low <= high").select("range_id", F.explode(F.expr(step)).alias("c")).select("range_id", "c.level", "c.cell")
+
+
+def multi_scan(log: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``ranges`` (range_id, low, high) with the entries in each. A range is cut into dyadic cells, however wide it is, and a key meets the cells it is in by
+    an equality join, one at each level in use; so no range is compared with every key."""
+    cells = dyadic_cells(ranges)
+    levels = sorted(r[0] for r in cells.select("level").distinct().collect())
+    ends = ranges.filter("low <= high").agg(F.min("low"), F.max("high")).first()
+    if not levels:
+        return log.limit(0).select(F.lit(None).cast(ranges.schema["range_id"].dataType).alias("range_id"), "key", "value")
+    if cells.count() <= MOST_CELLS:
+        cells = F.broadcast(cells)
+    near = log.filter(F.col("key").between(*ends))
+    # all versions of a key are in the same cells, so the latest one is among those that meet a range
+    at = F.explode(F.array(*(F.struct(F.lit(v).alias("level"), F.shiftright("key", v).alias("cell")) for v in levels)))
+    hit = near.withColumn("at", at).select("key", "value", "seq", "is_delete", "at.level", "at.cell").join(cells, ["level", "cell"])
+    last = hit.groupBy("range_id", "key").agg(F.max_by("value", "seq").alias("value"), F.max_by("is_delete", "seq").alias("is_delete"))
+    return last.filter(~F.col("is_delete")).select("range_id", "key", "value")
 
 
 def merge(runs: list[DataFrame], drop_deletes: bool) -> DataFrame:

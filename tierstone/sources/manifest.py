@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import SparkSession
@@ -24,7 +25,8 @@ class Run:
 
 @dataclass
 class Config:
-    """Settings whose effect Spark takes over (search algorithm, buffer pool) are kept and never change an answer."""
+    """Settings whose effect Spark takes over (search algorithm, buffer pool) are kept and never change an answer: Parquet's page index and row group
+    statistics do the searching, and pages are cached by the file system and, where a caller persists a scan, by Spark."""
 
     memtable_capacity: int = 256
     sst_size_ratio: int = 2
@@ -75,6 +77,11 @@ class Files:
     def names(self) -> list[str]:
         return [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
 
+    def ages(self) -> list[tuple[str, float]]:
+        """Names with the seconds since they were written."""
+        now = time.time()
+        return [(s.getPath().getName(), now - s.getModificationTime() / 1000) for s in self._fs.listStatus(self._path(""))]
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
@@ -101,11 +108,19 @@ def load(files: Files) -> Manifest | None:
 
 
 def save(files: Files, manifest: Manifest) -> None:
-    """Publish the next version; then older ones and runs that it does not name may go."""
+    """Publish the next version; older ones but the last go. Runs stay, for readers that hold them and writers that have not published them yet."""
     manifest.version += 1
     files.publish(f"manifest-{manifest.version:012d}.json", json.dumps(asdict(manifest)))
-    live = {r.path for level in manifest.levels for r in level}
     for n in files.names():
         m = _NAME.match(n)
-        if m and int(m[1]) < manifest.version or n.startswith("run-") and n not in live:
+        if m and int(m[1]) < manifest.version - 1:
             files.delete(n)
+
+
+def vacuum(files: Files, manifest: Manifest, older_than: float) -> list[str]:
+    """Delete runs (and spools) that the manifest does not name and that are older than so many seconds."""
+    live = {r.path for level in manifest.levels for r in level}
+    gone = [n for n, age in files.ages() if n.startswith(("run-", ".spool-")) and n not in live and age >= older_than]
+    for n in gone:
+        files.delete(n)
+    return gone

@@ -13,13 +13,13 @@ from .manifest import Config, Files, Run
 ENTRIES_PER_FILE = 8_000_000
 
 
-def write(files: Files, rows: DataFrame, config: Config, entries: int | None = None) -> Run | None:
-    """Write a run of unique keys; None if there is nothing. ``entries`` (an upper bound) sizes files and Bloom filters."""
+def write(files: Files, rows: DataFrame, config: Config, n: int, stats: tuple | None = None) -> Run | None:
+    """Write a run of unique keys; None if there is nothing. ``n`` (an upper bound of their number) sizes files and Bloom filters; ``stats`` (entries, smallest
+    and largest key, highest seq) are taken from what was written, where they are not known."""
     name = f"run-{uuid.uuid4().hex}"
-    n = rows.count() if entries is None else entries
     parts = max(1, -(-n // ENTRIES_PER_FILE))
-    # small runs come in one file, sorted in one task whose size is bounded
-    rows = rows.repartitionByRange(parts, "key") if parts > 1 else rows.coalesce(1)
+    # small runs come in one file, sorted in one task whose size is bounded; what makes the rows keeps its own tasks
+    rows = rows.repartitionByRange(parts, "key") if parts > 1 else rows.repartition(1)
     out = rows.select("key", "value", "seq", "is_delete").sortWithinPartitions("key").write
     if config.enable_bloom_filter:
         # Parquet takes the number of values and a false positive rate in place of bits per entry
@@ -28,13 +28,25 @@ def write(files: Files, rows: DataFrame, config: Config, entries: int | None = N
     if config.sst_implementation == "btree":
         out = out.option("parquet.page.row.count.limit", "4096")  # finer page index
     out.parquet(f"{files.root}/{name}")
-    s = read(files, Run(name, 0, 0, 0, 0)).agg(F.count("*"), F.min("key"), F.max("key"), F.max("seq")).first()
+    s = stats or tuple(read(files, Run(name, 0, 0, 0, 0)).agg(*stats_of()).first())
     if not s[0]:
         files.delete(name)
         return None
     return Run(name, *s, bloom=config.enable_bloom_filter, layout=config.sst_implementation)
 
 
+def stats_of() -> list:
+    return [F.count("*"), F.min("key"), F.max("key"), F.max("seq")]
+
+
+def spool(files: Files, rows: DataFrame) -> tuple[str, DataFrame, tuple]:
+    """``rows`` as they came out of one evaluation: folder, table and stats."""
+    name = f".spool-{uuid.uuid4().hex}"
+    rows.select("key", "value", "seq", "is_delete").write.parquet(f"{files.root}/{name}")
+    held = files.spark.read.schema(RUN).parquet(f"{files.root}/{name}")
+    return name, held, tuple(held.agg(*stats_of()).first())
+
+
 def read(files: Files, run: Run) -> DataFrame:
     return files.spark.read.schema(RUN).parquet(f"{files.root}/{run.path}")
 

@@ -6,11 +6,12 @@ A single key is a driver call or one small job; throughput comes from put_all, d
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import state
 from .memtable import Memtable
 from .plans.policy import Policy, make_room, recency
-from .schema import LARGEST, RESERVED, RUN, check, deletes, puts
+from .schema import LARGEST, RESERVED, RUN, check, checked, deletes, puts
 from .sources import manifest as M
 from .sources import runs as R
 from .sources.manifest import Config, Run
@@ -107,10 +108,10 @@ class Store:
         """Deleting an absent key is allowed."""
         self._write(check(key, "key"), None)
 
-    def _add_run(self, rows: DataFrame, entries: int | None) -> None:
+    def _add_run(self, rows: DataFrame, stats: tuple) -> None:
         levels = self.levels
         make_room(levels, Policy(self.config.compaction_policy), self.config.sst_size_ratio, self.config.memtable_capacity, self._merge)
-        run = R.write(self._files, rows, self.config, entries)
+        run = R.write(self._files, rows, self.config, stats[0], stats)
         if run is not None:
             levels[0].append(run)
         M.save(self._files, self._manifest)
@@ -119,22 +120,40 @@ class Store:
         self._check_open()
         if len(self._memtable):
             rows = self._memtable.rows()
-            self._add_run(self.spark.createDataFrame(rows, RUN), len(rows))
+            keys = [r[0] for r in rows]
+            self._add_run(self.spark.createDataFrame(rows, RUN), (len(rows), min(keys), max(keys), max(r[2] for r in rows)))
             self._memtable.clear()
 
     def _merge(self, found: list[Run], drop_deletes: bool) -> Run | None:
         rows = state.merge([R.read(self._files, r) for r in found], drop_deletes)
         return R.write(self._files, rows, self.config, sum(r.entries for r in found))
 
-    def put_all(self, df: DataFrame) -> None:
-        """Upsert ``df`` (key, value) as one run; of equal keys the largest value stays."""
+    def put_all(self, df: DataFrame, order: str | None = None) -> None:
+        """Upsert ``df`` (key, value) as one run. Of equal keys the row with the largest ``order`` stays, then the one with the largest value."""
         self.flush()
-        self._add_run(puts(df, self._seq()).groupBy("key", "seq", "is_delete").agg({"value": "max"}).withColumnRenamed("max(value)", "value"), None)
+        by = F.struct(*([F.col(order)] if order else []), F.col("value"))
+        best = df.groupBy("key").agg(F.max_by("value", by).alias("value"), F.count_if(F.col("value").isNull()).alias("__nulls"))
+        # a null would lose against any value, so it is kept to be refused
+        self._bulk(puts(best.withColumn("value", F.when(F.col("__nulls") == 0, F.col("value"))), self._seq()))
 
     def delete_all(self, df: DataFrame) -> None:
         """Delete every key of ``df`` (key)."""
         self.flush()
-        self._add_run(deletes(df, self._seq()).distinct(), None)
+        self._bulk(deletes(df, self._seq()).distinct())
+
+    def write_log(self, changes: DataFrame) -> None:
+        """Add ``changes`` (key, value, seq, is_delete) as one run with their own order: the highest seq of a key counts, whenever it comes. Only a delete
+        that a merge of the last level has dropped can no longer hide an older put that comes after it."""
+        self.flush()
+        last = state.latest(changes).withColumn("value", F.when(~F.col("is_delete"), checked("value")))
+        self._bulk(last.select(checked("key").alias("key"), "value", "seq", "is_delete"))
+
+    def _bulk(self, rows: DataFrame) -> None:
+        name, held, stats = R.spool(self._files, rows)
+        if stats[0]:
+            self._manifest.next_seq = max(self._manifest.next_seq, stats[3] + 1)
+            self._add_run(held, stats)
+        self._files.delete(name)
 
     def log(self, low: int = RESERVED, high: int = LARGEST) -> DataFrame:
         """The history that may hold keys of a range: runs whose keys reach into it, and the memtable."""
@@ -161,5 +180,10 @@ class Store:
     def multi_get(self, keys: DataFrame) -> DataFrame:
         return state.multi_get(self.log(), keys)
 
-    def multi_scan(self, ranges: DataFrame, width: int = 1024) -> DataFrame:
-        return state.multi_scan(self.log(), ranges, width)
+    def multi_scan(self, ranges: DataFrame) -> DataFrame:
+        return state.multi_scan(self.log(), ranges)
+
+    def vacuum(self, older_than: float = 7 * 24 * 3600) -> list[str]:
+        """Delete runs that merges have replaced, so many seconds after they were written. Scans taken before a merge read them until then."""
+        self._check_open()
+        return M.vacuum(self._files, self._manifest, older_than)

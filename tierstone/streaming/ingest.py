@@ -5,20 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.state import latest
 from ..store import Store
 
 
 def ingest(changes: DataFrame, store: Store, checkpoint: str, **trigger) -> StreamingQuery:
-    """``changes`` (key, value, seq, is_delete): the last change per key in a micro-batch counts. Upserts are idempotent, so a batch run again changes nothing."""
+    """``changes`` (key, value, seq, is_delete): the change with the highest seq of a key counts, in whichever micro-batch it comes (see Store.write_log). A batch
+    run again changes nothing."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        last = latest(batch).persist()
-        gone, kept = last.filter("is_delete"), last.filter("NOT is_delete")
-        if not gone.isEmpty():
-            store.delete_all(gone.select("key"))
-        if not kept.isEmpty():
-            store.put_all(kept.select("key", "value"))
-        last.unpersist()
+        store.write_log(batch)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
