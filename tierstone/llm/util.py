@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
-import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -14,48 +14,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete_path, shared_dir
+
 #: Rows handed to a Python loop at once, and the bytes of text in them (one longer text comes alone).
 SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 
-_local: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
-_owners: list[list[tuple[SparkSession, str]]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local session (as in tests) gets a temporary
-    folder, and a cluster an error, because its executors would not see the driver's folders."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local.get("dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = _local["dir"] = tempfile.mkdtemp(prefix="tierstone-")
-    return base.rstrip("/")
+_here = threading.local()
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/tierstone/{tag}-{uuid.uuid4().hex}"
     _written.append((spark, path))
-    for owned in _owners:
-        owned.append((spark, path))
+    for mine in getattr(_here, "owners", []):
+        mine.append((spark, path))
     return path
 
 
 @contextlib.contextmanager
 def owned() -> Iterator[list[tuple[SparkSession, str]]]:
-    """The folders that the block asks for, so that its caller can delete these and no others."""
+    """The folders that the block asks for in this thread, so that its caller can delete these and no others."""
     mine: list[tuple[SparkSession, str]] = []
-    _owners.append(mine)
+    before = getattr(_here, "owners", [])
+    _here.owners = [*before, mine]
     try:
         yield mine
     finally:
-        _owners[:] = [x for x in _owners if x is not mine]
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _here.owners = before
 
 
 @atexit.register
