@@ -255,22 +255,68 @@ def test_hot_key_is_one_entry_per_chunk(spark):
     assert ngram_join._entries(made, 4).count() == made.count() <= 2
 
 
-def test_substring_dedup(docs):
-    got = {}
-    for r in substring_dedup.op2(docs, 4000).collect():
-        got.setdefault(r["doc_id"], []).append(tuple(r)[1:])
-    raw = [t.encode() for t in TEXTS]
+def without_repeats(raw):
     seen = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
-    want = {}
-    for r, t in zip(ROWS, raw):
+    out = []
+    for t in raw:
         gone = bytearray(len(t))
         for i in range(len(t) - 199):
             if seen[t[i : i + 200]] > 1:
                 gone[i : i + 200] = b"\1" * 200
         kept = bytes(b for b, g in zip(t, gone) if not g)
-        want.setdefault(r[0], []).append((len(t), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(kept).hexdigest()))
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
-    assert len({(a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER}) == substring_dedup.PERIOD
+        out.append((len(t), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("chunk,passes", [(4000, 3), (4 << 20, 1)])
+def test_substring_dedup(docs, chunk, passes):
+    want = bag((r[0], *x) for r, x in zip(ROWS, without_repeats([t.encode() for t in TEXTS])))
+    assert bag(map(tuple, substring_dedup.op2(docs, chunk, passes).collect())) == want
+
+
+def test_substring_dedup_of_strings_at_all_distances(spark):
+    """Pieces of 190 to 260 bytes of one passage at shifting places, with single bytes changed: repeats just long enough and just too short."""
+    rng = random.Random(31)
+    passage = "".join(rng.choices("abcdefghij ", k=900))
+    texts = []
+    for i in range(160):
+        a, n = rng.randrange(600), rng.randint(190, 260)
+        piece = passage[a : a + n]
+        if i % 3 == 0:
+            at = rng.randrange(n)
+            piece = piece[:at] + "#" + piece[at + 1 :]
+        texts.append("".join(rng.choices("klmnop", k=rng.randrange(90))) + piece + "".join(rng.choices("qrstuv", k=rng.randrange(90))))
+    texts += ["ab" * 400, "ba" * 150, "z" * 199, "z" * 200, "y" * 201]
+    rows = list(enumerate(texts))
+    got = substring_dedup.op2(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3000).collect()
+    assert bag(map(tuple, got)) == bag((i, *x) for (i, _), x in zip(rows, without_repeats([t.encode() for t in texts])))
+
+
+def test_cover_has_every_difference_once():
+    pairs = Counter((a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER if a != b)
+    assert pairs == Counter(range(1, substring_dedup.PERIOD))
+    keys = np.sort(np.random.default_rng(3).integers(0, 2**64 - 1, 1000, dtype=np.uint64))
+    assert (substring_dedup.unpack_sorted(substring_dedup.pack_sorted(keys)) == keys).all()
+
+
+def test_a_very_long_text(spark):
+    """Memory follows the text by a small factor; pieces inside it are cut and read on."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    body = bytes(rng.integers(97, 123, 6 << 20, dtype=np.uint8))
+    text = body + b" " + body[1000:300_000]
+    row = {"chunk_id": 0, "n_bytes": len(text), "ids": np.array([1], "<i8").tobytes(), "lengths": np.array([len(text)], "<i8").tobytes(), "blob": chunks.squeeze(text)}
+    tracemalloc.start()
+    chunk = substring_dedup.Chunk(row)
+    keys, counts = np.unique(chunk.samples()[1], return_counts=True)
+    s = substring_dedup.Suffixes(chunk, np.where(counts > 1, np.arange(1, len(keys) + 1), 0).astype("<u4"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(text)
+    hit = substring_dedup.tied(s.keys, s.residues, s.ranks) | s.twice
+    gone = substring_dedup._covered(s.at[hit[s.place]], len(text), 0, 200)
+    assert gone.sum() == 2 * 299_000 and gone[1000:300_000].all() and gone[len(body) + 1 :].all()
 
 
 def test_packing(docs):

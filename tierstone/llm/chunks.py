@@ -129,13 +129,13 @@ def totals(entries: DataFrame, kind: str) -> DataFrame:
     return ready.mapInArrow(run, "chunk_id long, bucket int, totals binary")
 
 
-def returned(chunks: DataFrame, backs: list[DataFrame], use: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Call ``use(chunk row, totals in key order, ...)`` for each chunk, with one array of totals for each of ``backs``."""
+def returned(chunks: DataFrame, backs: list[DataFrame], use: Callable[..., Iterator[pa.RecordBatch]], schema: str, *types) -> DataFrame:
+    """Call ``use(chunk row, totals in key order, ...)`` for each chunk, with one array of totals for each of ``backs``, of 32-bit counts or of ``types``."""
     null = lambda t: F.lit(None).cast(t)
     both = chunks.select("chunk_id", F.lit(0).alias("kind"), F.lit(-1).alias("bucket"), "n_bytes", "ids", "lengths", "blob", null("binary").alias("payload"))
     for i, back in enumerate(backs, 1):
         both = both.unionByName(back.select("chunk_id", F.lit(i).alias("kind"), "bucket", null("long").alias("n_bytes"), *(null("binary").alias(n) for n in ("ids", "lengths", "blob")), F.col("totals").alias("payload")))
-    n = len(backs)
+    types = types or ("<u4",) * len(backs)
 
     def run(batches):
         held, parts = None, []
@@ -143,9 +143,9 @@ def returned(chunks: DataFrame, backs: list[DataFrame], use: Callable[..., Itera
             if r["kind"] == 0:
                 if held:
                     yield from use(held, *map(np.concatenate, parts))
-                held, parts = r, [[np.zeros(0, "<u4")] for _ in range(n)]
+                held, parts = r, [[np.zeros(0, t)] for t in types]
             else:
-                parts[r["kind"] - 1].append(loosen(r["payload"], "<u4"))
+                parts[r["kind"] - 1].append(loosen(r["payload"], types[r["kind"] - 1]))
         if held:
             yield from use(held, *map(np.concatenate, parts))
 

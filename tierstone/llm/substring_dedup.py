@@ -1,178 +1,287 @@
-"""Removal of repeated byte strings, after difference-cover blockwise suffix sorting.
-
-Two equal strings of 200 bytes at i and j have, for some d < 73, both i + d and j + d in the cover sample: positions whose
-residue modulo 73 is a power of two (these nine residues are a perfect difference set). Hence
-
-1. equal texts are made one first: of two or more copies every byte is covered;
-2. the 128-byte blocks at the sample positions (12 % of all) are named by sorting one bucket of them at a time over the whole corpus;
-3. only suffixes with a repeated sample block within their first 73 bytes can have a 200-byte head that repeats. These go on: they are dealt into
-   buckets and sorted one bucket at a time, which gives each its count. A bucket's size is bounded by the choice of their number.
-
-Only equality of heads matters here, not the order between unequal ones, so both sorts order blocks by fingerprints instead of letter by
-letter, and a tie ends at once however long it is: that stands in for the comparison by sample ranks. Heads count as equal when 64 bits and, independent of
-these, the bits of the bucket agree. A false sample name costs time only.
-
-Edge cases: null and empty texts have nothing to remove; texts under 200 bytes are kept whole; repeated rows and null doc_ids are rows
-like others; very long texts are a chunk of their own; an empty table gives an empty result; other columns are ignored.
+"""Removal of repeated byte strings by blockwise suffix sorting with a difference-cover sample.
+
+Suffixes are compared as far as their 200-byte heads. Positions of a text whose residue modulo 31 is in the cover (a perfect
+difference set of six residues) are the sample. Any two suffixes i and j have an offset d < 31 at which i + d and j + d are both in the sample.
+
+1. Equal texts are made one first: of two or more copies every byte is covered.
+2. Sample ranks: the 170-byte blocks at the sample positions are sorted, one bucket at a time, over the whole corpus. Blocks that occur once have rank 0,
+   the others the number of their place.
+3. Suffixes: only those with a sample of rank above 0 within their first 31 bytes can have a head that repeats. They are dealt into buckets and each
+   bucket is sorted by the first and the last 30 bytes of the heads. Ties there are resolved by the ranks: two suffixes are equal when at their
+   common offset d the ranks are equal, for the 30 bytes before, the block, and the 30 bytes after it cover the whole head. So a suffix
+   goes with a few numbers instead of its head, however long the ties are, and a bucket's memory is bounded.
+   Buckets are worked off in ``PASSES`` rounds over the chunks, which bounds what lies in shuffle files at once.
+4. Bytes covered by repeated heads are removed.
+
+Keys of blocks and of ends are 64-bit fingerprints, so the order of buckets and within them is that of fingerprints and not of letters; only
+adjacency of equal heads matters here. A head is taken for repeated when the keys of its ends and of the block between agree.
+
+Edge cases: null and empty texts have nothing to remove; texts under 200 bytes are kept whole; ties are what the operator looks for;
+repeated rows and null doc_ids are rows like others; a very long text is a chunk of its own, at about 20 bytes of memory for each of its own; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .util import discard, mix64, powers, release, written
-
-LENGTH, PERIOD = 200, 73
-BLOCK = LENGTH - PERIOD + 1
-COVER = sorted({pow(2, k, PERIOD) for k in range(9)})
-CHUNK, SEGMENT = 4 << 20, 256 << 10
-_BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+from .util import cache, discard, mix64, powers, release, written
+
+LENGTH, PERIOD = 200, 31
+#: A perfect difference set modulo 31; every residue but 0 is the difference of exactly one pair.
+COVER = (0, 1, 3, 8, 12, 18)
+BLOCK, END = LENGTH - PERIOD + 1, PERIOD - 1
+CHUNK, SEGMENT, PASSES = 4 << 20, 256 << 10, 2
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
+#: _AHEAD[r, k]: how far the next sample of residue COVER[k] lies ahead of a position with residue r.
+_AHEAD = (np.array(COVER)[None, :] - np.arange(PERIOD)[:, None]) % PERIOD
 RESULT = "sha binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RANKS = "chunk_id long, bucket int, totals binary"
+SUFFIXES = "bucket int, chunk_id long, n int, keys binary, residues binary, ranks binary, twice binary"
 
 
-class Segment:
-    """Some texts end to end, with prefix sums from which any window's fingerprint follows."""
+class Piece:
+    """Some positions of a chunk, with the bytes that their heads need and prefix sums from which any window's fingerprint follows."""
 
-    def __init__(self, texts: list[bytes], start: int) -> None:
-        self.start, self.raw = start, np.frombuffer(b"".join(texts), np.uint8)
-        lengths = np.array([len(t) for t in texts], np.int64)
-        self.begins = np.concatenate([[0], np.cumsum(lengths)])
-        self.lengths = lengths
-        self.sums: dict[int, np.ndarray] = {}
+    def __init__(self, raw: np.ndarray, start: int, room: np.ndarray, local: np.ndarray) -> None:
+        self.raw, self.start, self.room, self.local = raw, start, room, local
+        self.power, self.back = powers(_BASE, SEGMENT + LENGTH + 1)
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * self.power[: len(raw)], dtype=np.uint64)])
 
-    def heads(self, size: int) -> np.ndarray:
-        """Whether a window of ``size`` bytes starts at each position and stays in its text."""
-        room = np.repeat(self.begins[1:], self.lengths) - np.arange(len(self.raw))
-        return room >= size
+    def prints(self, at: np.ndarray, size: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64((self.sums[at + size] - self.sums[at]) * self.back[at])
 
-    def sample(self) -> np.ndarray:
-        local = np.arange(len(self.raw)) - np.repeat(self.begins[:-1], self.lengths)
-        member = np.zeros(PERIOD, bool)
-        member[COVER] = True
-        return np.flatnonzero(member[local % PERIOD] & self.heads(BLOCK))
 
-    def prints(self, at: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
-        power, back = powers(base, max(SEGMENT, len(self.raw)) + 1)
+class Chunk:
+    """A chunk's texts end to end, read some positions at a time, also inside a text."""
+
+    def __init__(self, row: dict) -> None:
+        self.row = row
+        self.lengths = np.frombuffer(row["lengths"], "<i8")
+        self.ends = np.cumsum(self.lengths)
+        self.begins = self.ends - self.lengths
+        self.bytes = zstandard.ZstdDecompressor().decompress(row["blob"], max_output_size=max(1, row["n_bytes"]))
+        self.raw = np.frombuffer(self.bytes, np.uint8)
+
+    def pieces(self) -> Iterator[Piece]:
+        for a in range(0, len(self.raw), SEGMENT):
+            at = np.arange(a, min(a + SEGMENT, len(self.raw)))
+            which = np.searchsorted(self.ends, at, side="right")
+            yield Piece(self.raw[a : a + SEGMENT + LENGTH], a, self.ends[which] - at, at - self.begins[which])
+
+    def samples(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and block fingerprints of the sample."""
+        member = np.zeros(PERIOD, bool)
+        member[list(COVER)] = True
+        at, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for p in self.pieces():
+            i = np.flatnonzero(member[p.local % PERIOD] & (p.room >= BLOCK))
+            at.append(i + p.start)
+            keys.append(p.prints(i, BLOCK))
+        return np.concatenate(at), np.concatenate(keys)
+
+
+class Suffixes:
+    """The suffixes of a chunk that may repeat, and the distinct ones among them in order of their keys."""
+
+    def __init__(self, chunk: Chunk, ranks: np.ndarray) -> None:
+        at, keys = chunk.samples()
+        _, place = np.unique(keys, return_inverse=True)
+        own = ranks[place] if len(at) else np.zeros(0, ranks.dtype)
+        del keys, place
+        rank_at = np.zeros(len(chunk.raw) + LENGTH, ranks.dtype)
+        rank_at[at] = own
+        wanted = _covered(at[own > 0], len(chunk.raw), PERIOD - 1, 1)
+        found = [[np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros((0, len(COVER)), ranks.dtype)]]
+        for p in chunk.pieces():
+            i = np.flatnonzero(wanted[p.start : p.start + len(p.room)] & (p.room >= LENGTH))
+            if len(i):
+                residue = p.local[i] % PERIOD
+                with np.errstate(over="ignore"):
+                    ends = mix64(p.prints(i, END) * np.uint64(0xC2B2AE3D27D4EB4F) + p.prints(i + BLOCK, END))
+                found.append([i + p.start, ends, residue.astype(np.uint8), rank_at[(i + p.start)[:, None] + _AHEAD[residue]]])
+        self.at, keys, residues, ranks = (np.concatenate(x) for x in zip(*found))
+        # suffixes of a chunk that agree in ends, residue and all ranks are equal; they go as one
         with np.errstate(over="ignore"):
-            if base not in self.sums:
-                self.sums[base] = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * power[: len(self.raw)], dtype=np.uint64)])
-            sums = self.sums[base]
-            return mix64((sums[at + size] - sums[at]) * back[at])
-
-
-def segments(texts: list[bytes]):
-    held, size, start = [], 0, 0
-    for t in texts:
-        if held and size + len(t) > SEGMENT:
-            yield Segment(held, start)
-            start, held, size = start + size, [], 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield Segment(held, start)
-
-
-def _samples(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the chunk and truncated block fingerprints of all samples."""
-    at, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for s in segments(texts):
-        i = s.sample()
-        at.append(i + s.start)
-        keys.append(s.prints(i, BLOCK) >> np.uint64(32 - bits))
-    return np.concatenate(at), np.concatenate(keys)
-
-
-def _windows(texts: list[bytes], wanted: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, buckets and fingerprints of the heads at the wanted positions."""
-    at, buckets, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for s in segments(texts):
-        i = np.flatnonzero(wanted[s.start : s.start + len(s.raw)] & s.heads(LENGTH))
-        if len(i):
-            at.append(i + s.start)
-            buckets.append(s.prints(i, LENGTH, _BASE2) >> np.uint64(64 - bits))
-            keys.append(s.prints(i, LENGTH))
-    return np.concatenate(at), np.concatenate(buckets), np.concatenate(keys)
-
-
-def _distinct_pairs(buckets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct (bucket, key), how often each occurs, and the place of each input."""
-    order = np.lexsort((keys, buckets))
-    b, k = buckets[order], keys[order]
-    first = np.ones(len(k), bool)
-    first[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
-    place = np.empty(len(k), np.int64)
-    place[order] = np.cumsum(first) - 1
-    return b[first], k[first], np.bincount(place, minlength=int(first.sum())), place
+            same = residues.astype(np.uint64)
+            for k in range(len(COVER)):
+                same = mix64(same * np.uint64(0x9E3779B97F4A7C15) + ranks[:, k].astype(np.uint64) + np.uint64(1))
+        order = np.lexsort((same, keys))
+        first = np.ones(len(order), bool)
+        first[1:] = (keys[order[1:]] != keys[order[:-1]]) | (same[order[1:]] != same[order[:-1]])
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(first) - 1
+        self.twice = np.bincount(self.place, minlength=int(first.sum())) > 1
+        order = order[first]
+        self.keys, self.residues, self.ranks = keys[order], residues[order], ranks[order]
+
+
+def tied(keys: np.ndarray, residues: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Which of some suffixes have an equal one among them. They are sorted by key; suffixes of one key are equal when they have a sample of equal
+    rank at one offset."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    group = np.cumsum(new) - 1
+    tie = np.bincount(group)[group] > 1 if len(k) else np.zeros(0, bool)
+    order, group = order[tie], group[tie]
+    who, slot = np.nonzero(ranks[order])
+    rank = np.unique(ranks[order[who], slot], return_inverse=True)[1]
+    offset = _AHEAD[residues[order[who]], slot]
+    # (key, offset, rank) as two numbers, compared exactly
+    high, low = group[who] * PERIOD + offset, rank
+    by = np.lexsort((low, high))
+    same = (high[by][1:] == high[by][:-1]) & (low[by][1:] == low[by][:-1])
+    hit = np.zeros(len(by), bool)
+    hit[1:] |= same
+    hit[:-1] |= same
+    out = np.zeros(len(keys), bool)
+    out[order[who[by[hit]]]] = True
+    return out
 
 
 def _covered(starts: np.ndarray, n: int, back: int, ahead: int) -> np.ndarray:
     """Positions within ``back`` before or ``ahead`` after (exclusive) any start."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, np.maximum(starts - back, 0), 1)
-    np.add.at(edge, np.minimum(starts + ahead, n), -1)
+    edge = np.bincount(np.maximum(starts - back, 0), minlength=n + 1).astype(np.int32)
+    edge -= np.bincount(np.minimum(starts + ahead, n), minlength=n + 1).astype(np.int32)
     return np.cumsum(edge[:n]) > 0
 
 
-def _sample_entries(chunks: DataFrame, bits: int) -> DataFrame:
-    def run(batches):
-        for row in C.rows_of(batches):
-            _, texts = C.opened(row)
-            keys, counts = np.unique(_samples(texts, bits)[1], return_counts=True)
-            yield C.entry_batch(list(C.dealt(keys, counts, bits, "<u4", row["chunk_id"])))
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as differences, byte plane by byte plane."""
+    gaps = keys.copy()
+    gaps[1:] -= keys[:-1]
+    return C.squeeze(np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T))
 
-    return chunks.mapInArrow(run, C.ENTRY)
 
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    planes = C.loosen(packed, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
-def _wanted(texts: list[bytes], n: int, total: np.ndarray, bits: int) -> np.ndarray:
-    """Positions with a repeated sample near their start."""
-    at, keys = _samples(texts, bits)
-    _, place = np.unique(keys, return_inverse=True)
-    return _covered(at[total[place] > 1] if len(at) else at, n, PERIOD - 1, 1)
 
+def _ends(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket begins among ascending keys."""
+    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
 
-def _window_entries(chunks: DataFrame, samples: DataFrame, bits: int) -> DataFrame:
-    def use(row, total):
-        _, texts = C.opened(row)
-        _, buckets, keys = _windows(texts, _wanted(texts, row["n_bytes"], total, bits), bits)
-        b, k, counts, _ = _distinct_pairs(buckets, keys)
-        yield C.entry_batch(list(C.dealt(k, counts, bits, "<u8", row["chunk_id"], b)))
 
-    return C.returned(chunks, [samples], use, C.ENTRY)
+def _sample_entries(chunks: DataFrame, bits: int) -> DataFrame:
+    def run(batches):
+        cache("substrings")
+        for row in C.rows_of(batches):
+            keys, counts = np.unique(Chunk(row).samples()[1], return_counts=True)
+            at = _ends(keys, bits)
+            yield C.entry_batch([(b, row["chunk_id"], pack_sorted(keys[at[b] : at[b + 1]]), C.squeeze(np.packbits(counts[at[b] : at[b + 1]] > 1))) for b in np.flatnonzero(np.diff(at)).tolist()])
 
+    return chunks.mapInArrow(run, C.ENTRY)
 
-def _removals(chunks: DataFrame, samples: DataFrame, windows: DataFrame, bits: int) -> DataFrame:
-    def use(row, sampled, total):
-        copies, texts = C.opened(row)
-        n = row["n_bytes"]
-        at, buckets, keys = _windows(texts, _wanted(texts, n, sampled, bits), bits)
-        *_, place = _distinct_pairs(buckets, keys)
-        gone = _covered(at[total[place] > 1] if len(at) else at, n, 0, LENGTH)
-        out, start = [], 0
-        for c, t in zip(copies, texts):
-            g = gone[start : start + len(t)]
-            start += len(t)
+
+def rank_kind(bits: int) -> str:
+    """Ranks are 32-bit numbers as long as a bucket's number and the places in it fit."""
+    return "<u4" if bits <= 9 else "<u8"
+
+
+def _grouped(batches, add) -> Iterator[pa.RecordBatch]:
+    """``add`` of the rows of each bucket, which come one after the other."""
+    rows = []
+    for r in C.rows_of(batches):
+        if rows and r["bucket"] != rows[0]["bucket"]:
+            yield add(rows)
+            rows = []
+        rows.append(r)
+    if rows:
+        yield add(rows)
+
+
+def _ranks(entries: DataFrame, bits: int) -> DataFrame:
+    """For each entry row the ranks of its blocks over all chunks."""
+    kind = rank_kind(bits)
+
+    def add(rows):
+        parts = [unpack_sorted(r["keys"]) for r in rows]
+        flat = np.concatenate(parts)
+        twice = np.concatenate([np.unpackbits(C.loosen(r["counts"], np.uint8), count=len(p)) for r, p in zip(rows, parts)]).astype(np.int64)
+        _, place = np.unique(flat, return_inverse=True)
+        repeated = np.bincount(place, weights=1 + twice) > 1
+        assert kind == "<u8" or repeated.sum() < 1 << 23
+        rank = np.where(repeated, np.cumsum(repeated) + (rows[0]["bucket"] << (23 if kind == "<u4" else 40)), 0).astype(kind)
+        back = np.split(rank[place], np.cumsum([len(p) for p in parts])[:-1])
+        return pa.RecordBatch.from_arrays([pa.array([r["chunk_id"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()), pa.array([C.squeeze(b) for b in back], pa.binary())], names=["chunk_id", "bucket", "totals"])
+
+    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _grouped(batches, add), RANKS)
+
+
+def _suffix_entries(chunks: DataFrame, ranks: DataFrame, bits: int, turn: int, turns: int) -> DataFrame:
+    """Rows of the buckets of one round."""
+
+    def use(row, rank):
+        s = Suffixes(Chunk(row), rank)
+        at, out = _ends(s.keys, bits), []
+        for b in np.flatnonzero(np.diff(at)).tolist():
+            if b % turns == turn:
+                part = slice(at[b], at[b + 1])
+                out.append((b, row["chunk_id"], int(at[b + 1] - at[b]), pack_sorted(s.keys[part]), C.squeeze(s.residues[part]), C.squeeze(np.ascontiguousarray(s.ranks[part].T)), C.squeeze(np.packbits(s.twice[part]))))
+        cols = list(zip(*out)) or [()] * 7
+        kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in SUFFIXES.split(", ")])
+
+    return C.returned(chunks, [ranks], use, SUFFIXES, rank_kind(bits))
+
+
+def _repeats(entries: DataFrame, bits: int) -> DataFrame:
+    """For each entry row a bit per suffix: whether it is equal to another one."""
+    kind = rank_kind(bits)
+
+    def add(rows):
+        sizes = [r["n"] for r in rows]
+        keys, residues = np.concatenate([unpack_sorted(r["keys"]) for r in rows]), np.concatenate([C.loosen(r["residues"], np.uint8) for r in rows])
+        ranks = np.concatenate([C.loosen(r["ranks"], kind).reshape(len(COVER), -1).T for r in rows])
+        hit = tied(keys, residues, ranks)
+        hit |= np.concatenate([np.unpackbits(C.loosen(r["twice"], np.uint8), count=n) for r, n in zip(rows, sizes)]).astype(bool)
+        back = [C.squeeze(x.astype(np.uint8)) for x in np.split(hit, np.cumsum(sizes)[:-1])]
+        return pa.RecordBatch.from_arrays([pa.array([r["chunk_id"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()), pa.array(back, pa.binary())], names=["chunk_id", "bucket", "totals"])
+
+    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _grouped(batches, add), RANKS)
+
+
+def _removals(chunks: DataFrame, ranks: DataFrame, repeats: DataFrame, bits: int) -> DataFrame:
+    def use(row, rank, repeated):
+        chunk = Chunk(row)
+        s = Suffixes(chunk, rank)
+        assert len(repeated) == len(s.keys)
+        starts = s.at[repeated[s.place] > 0] if len(s.at) else s.at
+        del s
+        gone = _covered(starts, len(chunk.raw), 0, LENGTH)
+        out = []
+        for c, a, z in zip(np.frombuffer(row["ids"], "<i8").tolist(), chunk.begins.tolist(), chunk.ends.tolist()):
+            t, g = chunk.bytes[a:z], gone[a:z]
             removed = int(g.sum())
             if c > 1 and len(t) >= LENGTH:
                 removed, spans, kept = len(t), 1, b""
             elif removed:
                 spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum())
-                kept = np.frombuffer(t, np.uint8)[~g].tobytes()
+                kept = chunk.raw[a:z][~g].tobytes()
             else:
                 spans, kept = 0, t
             out.append((hashlib.sha256(t).digest(), len(t), removed, spans, hashlib.sha256(kept).hexdigest()))
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["sha", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return C.returned(chunks, [samples, windows], use, RESULT)
+    return C.returned(chunks, [ranks, repeats], use, RESULT, rank_kind(bits), np.uint8)
 
 
-def op2(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def op2(docs: DataFrame, chunk: int = CHUNK, passes: int = PASSES) -> DataFrame:
     spark = docs.sparkSession
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("sha", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)))
@@ -181,11 +290,16 @@ def op2(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     chunks = C.write_chunks(keyed.groupBy("sha").agg(F.count("*").alias("copies"), F.first("text").alias("text")).select("copies", "text"), chunk)
     release(spark)
     bits = C.bucket_bits(chunks)
-    samples = written(C.totals(_sample_entries(chunks, bits), "<u4"), "substring-samples")
-    release(spark)
-    windows = written(C.totals(_window_entries(chunks, samples, bits), "<u8"), "substring-windows")
+    ranks = written(_ranks(_sample_entries(chunks, bits), bits), "substring-ranks")
     release(spark)
-    found = written(_removals(chunks, samples, windows, bits), "substring-found")
-    discard(chunks, samples, windows)
+    rounds = []
+    for turn in range(passes):
+        rounds.append(written(_repeats(_suffix_entries(chunks, ranks, bits, turn, passes), bits), "substring-repeats"))
+        release(spark)
+    repeats = rounds[0]
+    for r in rounds[1:]:
+        repeats = repeats.unionByName(r)
+    found = written(_removals(chunks, ranks, repeats, bits), "substring-found")
+    discard(chunks, ranks, *rounds)
     release(spark)
     return ids.join(found, "sha").drop("sha")
