@@ -310,11 +310,19 @@ def test_a_very_long_text(spark):
     tracemalloc.start()
     chunk = substring_dedup.Chunk(row)
     keys, counts = np.unique(chunk.samples()[1], return_counts=True)
-    s = substring_dedup.Suffixes(chunk, np.where(counts > 1, np.arange(1, len(keys) + 1), 0).astype("<u4"))
+    at, own = chunk.samples()
+    rank = np.where(counts > 1, np.arange(1, len(keys) + 1), 0)[np.searchsorted(keys, own)].astype("<u4")
+    row |= {"at": chunks.squeeze(np.diff(at[rank > 0], prepend=0).astype("<u4")), "rank": chunks.squeeze(rank[rank > 0])}
+    s = substring_dedup.Suffixes(chunk, 4, 0, 1)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 * len(text)
     hit = substring_dedup.tied(s.keys, s.residues, s.ranks) | s.twice
+    few = np.flatnonzero(np.isin(s.keys, s.keys[::50]))
+    quick = substring_dedup.tied(s.keys[few], s.residues[few], s.ranks[:, few])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(substring_dedup, "LEADERS", 0)
+        assert (substring_dedup.tied(s.keys[few], s.residues[few], s.ranks[:, few]) == quick).all()
     gone = substring_dedup._covered(s.at[hit[s.place]], len(text), 0, 200)
     assert gone.sum() == 2 * 299_000 and gone[1000:300_000].all() and gone[len(body) + 1 :].all()
 

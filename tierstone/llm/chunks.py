@@ -131,10 +131,11 @@ def totals(entries: DataFrame, kind: str) -> DataFrame:
 
 def returned(chunks: DataFrame, backs: list[DataFrame], use: Callable[..., Iterator[pa.RecordBatch]], schema: str, *types) -> DataFrame:
     """Call ``use(chunk row, totals in key order, ...)`` for each chunk, with one array of totals for each of ``backs``, of 32-bit counts or of ``types``."""
-    null = lambda t: F.lit(None).cast(t)
-    both = chunks.select("chunk_id", F.lit(0).alias("kind"), F.lit(-1).alias("bucket"), "n_bytes", "ids", "lengths", "blob", null("binary").alias("payload"))
+    own = [f for f in chunks.schema.fields if f.name != "chunk_id"]
+    both = chunks.select("chunk_id", F.lit(0).alias("kind"), F.lit(-1).alias("bucket"), *(f.name for f in own), F.lit(None).cast("binary").alias("payload"))
     for i, back in enumerate(backs, 1):
-        both = both.unionByName(back.select("chunk_id", F.lit(i).alias("kind"), "bucket", null("long").alias("n_bytes"), *(null("binary").alias(n) for n in ("ids", "lengths", "blob")), F.col("totals").alias("payload")))
+        nulls = (F.lit(None).cast(f.dataType).alias(f.name) for f in own)
+        both = both.unionByName(back.select("chunk_id", F.lit(i).alias("kind"), "bucket", *nulls, F.col("totals").alias("payload")))
     types = types or ("<u4",) * len(backs)
 
     def run(batches):

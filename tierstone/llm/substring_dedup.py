@@ -39,13 +39,16 @@ LENGTH, PERIOD = 200, 31
 #: A perfect difference set modulo 31; every residue but 0 is the difference of exactly one pair.
 COVER = (0, 1, 3, 8, 12, 18)
 BLOCK, END = LENGTH - PERIOD + 1, PERIOD - 1
-CHUNK, SEGMENT, PASSES = 4 << 20, 256 << 10, 2
+CHUNK, SEGMENT, PASSES = 4 << 20, 256 << 10, 4
+#: Rounds in which ties are compared with the first of their group before all ranks are sorted.
+LEADERS = 3
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 #: _AHEAD[r, k]: how far the next sample of residue COVER[k] lies ahead of a position with residue r.
 _AHEAD = (np.array(COVER)[None, :] - np.arange(PERIOD)[:, None]) % PERIOD
 RESULT = "sha binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 RANKS = "chunk_id long, bucket int, totals binary"
+RANKED = C.CHUNK + ", at binary, rank binary"
 SUFFIXES = "bucket int, chunk_id long, n int, keys binary, residues binary, ranks binary, twice binary"
 
 
@@ -59,8 +62,9 @@ class Piece:
             self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * self.power[: len(raw)], dtype=np.uint64)])
 
     def prints(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Sums of the windows at ``at``, before mixing."""
         with np.errstate(over="ignore"):
-            return mix64((self.sums[at + size] - self.sums[at]) * self.back[at])
+            return (self.sums[at + size] - self.sums[at]) * self.back[at]
 
 
 class Chunk:
@@ -74,8 +78,11 @@ class Chunk:
         self.bytes = zstandard.ZstdDecompressor().decompress(row["blob"], max_output_size=max(1, row["n_bytes"]))
         self.raw = np.frombuffer(self.bytes, np.uint8)
 
-    def pieces(self) -> Iterator[Piece]:
+    def pieces(self, wanted: np.ndarray | None = None) -> Iterator[Piece]:
+        """All pieces, or those with a wanted position."""
         for a in range(0, len(self.raw), SEGMENT):
+            if wanted is not None and not wanted[a : a + SEGMENT].any():
+                continue
             at = np.arange(a, min(a + SEGMENT, len(self.raw)))
             which = np.searchsorted(self.ends, at, side="right")
             yield Piece(self.raw[a : a + SEGMENT + LENGTH], a, self.ends[which] - at, at - self.begins[which])
@@ -88,67 +95,85 @@ class Chunk:
         for p in self.pieces():
             i = np.flatnonzero(member[p.local % PERIOD] & (p.room >= BLOCK))
             at.append(i + p.start)
-            keys.append(p.prints(i, BLOCK))
+            keys.append(mix64(p.prints(i, BLOCK)))
         return np.concatenate(at), np.concatenate(keys)
 
 
 class Suffixes:
-    """The suffixes of a chunk that may repeat, and the distinct ones among them in order of their keys."""
-
-    def __init__(self, chunk: Chunk, ranks: np.ndarray) -> None:
-        at, keys = chunk.samples()
-        _, place = np.unique(keys, return_inverse=True)
-        own = ranks[place] if len(at) else np.zeros(0, ranks.dtype)
-        del keys, place
-        rank_at = np.zeros(len(chunk.raw) + LENGTH, ranks.dtype)
-        rank_at[at] = own
-        wanted = _covered(at[own > 0], len(chunk.raw), PERIOD - 1, 1)
-        found = [[np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros((0, len(COVER)), ranks.dtype)]]
-        for p in chunk.pieces():
+    """The suffixes of a chunk that may repeat, of the buckets of one round, and the distinct ones among them in order of their keys."""
+
+    def __init__(self, chunk: Chunk, bits: int, turn: int, turns: int) -> None:
+        kind, n = rank_kind(bits), len(chunk.raw)
+        at, rank_at = np.cumsum(C.loosen(chunk.row["at"], "<u4"), dtype=np.int64), np.zeros(n + LENGTH, kind)
+        rank_at[at] = C.loosen(chunk.row["rank"], kind)
+        wanted = _covered(at, n, PERIOD - 1, 1)
+        found = [[np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)]]
+        for p in chunk.pieces(wanted):
             i = np.flatnonzero(wanted[p.start : p.start + len(p.room)] & (p.room >= LENGTH))
-            if len(i):
-                residue = p.local[i] % PERIOD
-                with np.errstate(over="ignore"):
-                    ends = mix64(p.prints(i, END) * np.uint64(0xC2B2AE3D27D4EB4F) + p.prints(i + BLOCK, END))
-                found.append([i + p.start, ends, residue.astype(np.uint8), rank_at[(i + p.start)[:, None] + _AHEAD[residue]]])
-        self.at, keys, residues, ranks = (np.concatenate(x) for x in zip(*found))
-        # suffixes of a chunk that agree in ends, residue and all ranks are equal; they go as one
+            with np.errstate(over="ignore"):
+                ends = mix64(p.prints(i, END) * np.uint64(0xC2B2AE3D27D4EB4F) + p.prints(i + BLOCK, END))
+            if turns > 1:
+                mine = np.flatnonzero((ends >> np.uint64(64 - bits)) % np.uint64(turns) == turn)
+                i, ends = i[mine], ends[mine]
+            found.append([i + p.start, ends, (p.local[i] % PERIOD).astype(np.uint8)])
+        at, keys, residues = (np.concatenate(x) for x in zip(*found))
+        # stable, so that every reading of the chunk has the same order
+        order = np.argsort(keys, kind="stable")
+        self.at, keys, residues = at[order], keys[order], residues[order]
+        ranks = np.empty((len(COVER), len(order)), kind)
+        same = residues.astype(np.uint64)
         with np.errstate(over="ignore"):
-            same = residues.astype(np.uint64)
             for k in range(len(COVER)):
-                same = mix64(same * np.uint64(0x9E3779B97F4A7C15) + ranks[:, k].astype(np.uint64) + np.uint64(1))
-        order = np.lexsort((same, keys))
+                ranks[k] = rank_at[self.at + _AHEAD[residues, k]]
+                same = same * np.uint64(0x9E3779B97F4A7C15) + ranks[k]
+            same = mix64(same)
+        # neighbours that agree in ends, residue and all ranks are equal; they go as one
         first = np.ones(len(order), bool)
-        first[1:] = (keys[order[1:]] != keys[order[:-1]]) | (same[order[1:]] != same[order[:-1]])
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.cumsum(first) - 1
+        first[1:] = (keys[1:] != keys[:-1]) | (same[1:] != same[:-1])
+        self.place = np.cumsum(first) - 1
         self.twice = np.bincount(self.place, minlength=int(first.sum())) > 1
-        order = order[first]
-        self.keys, self.residues, self.ranks = keys[order], residues[order], ranks[order]
+        self.keys, self.residues, self.ranks = keys[first], residues[first], ranks[:, first]
+
+
+#: _SLOT[(r - s) % PERIOD]: which sample of a suffix with residue r and which of one with residue s lie at one offset.
+_SLOT = np.zeros((PERIOD, 2), np.int64)
+for _k, _e in enumerate(COVER):
+    for _m, _f in enumerate(COVER):
+        if _e != _f:
+            _SLOT[(_e - _f) % PERIOD] = _k, _m
 
 
 def tied(keys: np.ndarray, residues: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Which of some suffixes have an equal one among them. They are sorted by key; suffixes of one key are equal when they have a sample of equal
-    rank at one offset."""
+    """Which of some suffixes have an equal one among them; ``ranks`` has a row per cover residue. They are sorted by key; suffixes of one key are equal when
+    they have a sample of equal rank, not 0, at their common offset."""
     order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+    out = np.zeros(len(keys), bool)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
     group = np.cumsum(new) - 1
-    tie = np.bincount(group)[group] > 1 if len(k) else np.zeros(0, bool)
+    for _ in range(LEADERS):
+        # only groups of two or more are ties
+        tie = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+        order, group = order[tie], group[tie]
+        if not len(order):
+            return out
+        new = np.ones(len(order), bool)
+        new[1:] = group[1:] != group[:-1]
+        lead = order[new][np.cumsum(new) - 1]
+        slots = _SLOT[(residues[lead].astype(np.int64) - residues[order]) % PERIOD]
+        own = ranks[slots[:, 1], order]
+        equal = (ranks[slots[:, 0], lead] == own) & (own > 0) & ~new
+        out[order[equal]] = out[lead[equal]] = True
+        order, group = order[~equal & ~new], group[~equal & ~new]
+    # what is left has several different heads behind one key: sort by (key, offset, rank)
+    tie = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
     order, group = order[tie], group[tie]
-    who, slot = np.nonzero(ranks[order])
-    rank = np.unique(ranks[order[who], slot], return_inverse=True)[1]
-    offset = _AHEAD[residues[order[who]], slot]
-    # (key, offset, rank) as two numbers, compared exactly
-    high, low = group[who] * PERIOD + offset, rank
-    by = np.lexsort((low, high))
-    same = (high[by][1:] == high[by][:-1]) & (low[by][1:] == low[by][:-1])
-    hit = np.zeros(len(by), bool)
-    hit[1:] |= same
-    hit[:-1] |= same
-    out = np.zeros(len(keys), bool)
-    out[order[who[by[hit]]]] = True
+    slot, who = np.nonzero(ranks[:, order])
+    rank = np.unique(ranks[slot, order[who]], return_inverse=True)[1]
+    at = group[who] * PERIOD + _AHEAD[residues[order[who]], slot]
+    by = np.lexsort((rank, at))
+    same = (at[by][1:] == at[by][:-1]) & (rank[by][1:] == rank[by][:-1])
+    out[order[who[by[1:][same]]]] = out[order[who[by[:-1][same]]]] = True
     return out
 
 
@@ -222,21 +247,37 @@ def _ranks(entries: DataFrame, bits: int) -> DataFrame:
     return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _grouped(batches, add), RANKS)
 
 
-def _suffix_entries(chunks: DataFrame, ranks: DataFrame, bits: int, turn: int, turns: int) -> DataFrame:
-    """Rows of the buckets of one round."""
+def _ranked(chunks: DataFrame, ranks: DataFrame, bits: int) -> DataFrame:
+    """Chunks with the positions and ranks of their repeated sample blocks, so that a round reads one table and shuffles no text."""
 
     def use(row, rank):
-        s = Suffixes(Chunk(row), rank)
-        at, out = _ends(s.keys, bits), []
-        for b in np.flatnonzero(np.diff(at)).tolist():
-            if b % turns == turn:
+        at, keys = Chunk(row).samples()
+        _, place = np.unique(keys, return_inverse=True)
+        own = rank[place] if len(at) else rank
+        at, own = at[own > 0], own[own > 0]
+        cols = [row["chunk_id"], row["n_bytes"], row["ids"], row["lengths"], row["blob"], C.squeeze(np.diff(at, prepend=0).astype("<u4")), C.squeeze(own)]
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in RANKED.split(", ")])
+
+    return C.returned(chunks, [ranks], use, RANKED, rank_kind(bits))
+
+
+def _suffix_entries(ranked: DataFrame, bits: int, turn: int, turns: int) -> DataFrame:
+    """Rows of the buckets of one round."""
+
+    def run(batches):
+        cache("substrings")
+        for row in C.rows_of(batches):
+            s = Suffixes(Chunk(row), bits, turn, turns)
+            at, out = _ends(s.keys, bits), []
+            for b in np.flatnonzero(np.diff(at)).tolist():
                 part = slice(at[b], at[b + 1])
-                out.append((b, row["chunk_id"], int(at[b + 1] - at[b]), pack_sorted(s.keys[part]), C.squeeze(s.residues[part]), C.squeeze(np.ascontiguousarray(s.ranks[part].T)), C.squeeze(np.packbits(s.twice[part]))))
-        cols = list(zip(*out)) or [()] * 7
-        kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in SUFFIXES.split(", ")])
+                out.append((b, row["chunk_id"], int(at[b + 1] - at[b]), pack_sorted(s.keys[part]), C.squeeze(s.residues[part]), C.squeeze(np.ascontiguousarray(s.ranks[:, part])), C.squeeze(np.packbits(s.twice[part]))))
+            cols = list(zip(*out)) or [()] * 7
+            kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in SUFFIXES.split(", ")])
 
-    return C.returned(chunks, [ranks], use, SUFFIXES, rank_kind(bits))
+    return ranked.mapInArrow(run, SUFFIXES)
 
 
 def _repeats(entries: DataFrame, bits: int) -> DataFrame:
@@ -246,7 +287,7 @@ def _repeats(entries: DataFrame, bits: int) -> DataFrame:
     def add(rows):
         sizes = [r["n"] for r in rows]
         keys, residues = np.concatenate([unpack_sorted(r["keys"]) for r in rows]), np.concatenate([C.loosen(r["residues"], np.uint8) for r in rows])
-        ranks = np.concatenate([C.loosen(r["ranks"], kind).reshape(len(COVER), -1).T for r in rows])
+        ranks = np.concatenate([C.loosen(r["ranks"], kind).reshape(len(COVER), -1) for r in rows], axis=1)
         hit = tied(keys, residues, ranks)
         hit |= np.concatenate([np.unpackbits(C.loosen(r["twice"], np.uint8), count=n) for r, n in zip(rows, sizes)]).astype(bool)
         back = [C.squeeze(x.astype(np.uint8)) for x in np.split(hit, np.cumsum(sizes)[:-1])]
@@ -255,10 +296,10 @@ def _repeats(entries: DataFrame, bits: int) -> DataFrame:
     return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _grouped(batches, add), RANKS)
 
 
-def _removals(chunks: DataFrame, ranks: DataFrame, repeats: DataFrame, bits: int) -> DataFrame:
-    def use(row, rank, repeated):
+def _removals(ranked: DataFrame, repeats: DataFrame, bits: int) -> DataFrame:
+    def use(row, repeated):
         chunk = Chunk(row)
-        s = Suffixes(chunk, rank)
+        s = Suffixes(chunk, bits, 0, 1)
         assert len(repeated) == len(s.keys)
         starts = s.at[repeated[s.place] > 0] if len(s.at) else s.at
         del s
@@ -278,7 +319,7 @@ def _removals(chunks: DataFrame, ranks: DataFrame, repeats: DataFrame, bits: int
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["sha", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return C.returned(chunks, [ranks, repeats], use, RESULT, rank_kind(bits), np.uint8)
+    return C.returned(ranked, [repeats], use, RESULT, np.uint8)
 
 
 def op2(docs: DataFrame, chunk: int = CHUNK, passes: int = PASSES) -> DataFrame:
@@ -292,14 +333,17 @@ def op2(docs: DataFrame, chunk: int = CHUNK, passes: int = PASSES) -> DataFrame:
     bits = C.bucket_bits(chunks)
     ranks = written(_ranks(_sample_entries(chunks, bits), bits), "substring-ranks")
     release(spark)
+    ranked = written(_ranked(chunks, ranks, bits), "substring-ranked")
+    discard(chunks, ranks)
+    release(spark)
     rounds = []
     for turn in range(passes):
-        rounds.append(written(_repeats(_suffix_entries(chunks, ranks, bits, turn, passes), bits), "substring-repeats"))
+        rounds.append(written(_repeats(_suffix_entries(ranked, bits, turn, passes), bits), "substring-repeats"))
         release(spark)
     repeats = rounds[0]
     for r in rounds[1:]:
         repeats = repeats.unionByName(r)
-    found = written(_removals(chunks, ranks, repeats, bits), "substring-found")
-    discard(chunks, ranks, *rounds)
+    found = written(_removals(ranked, repeats, bits), "substring-found")
+    discard(ranked, *rounds)
     release(spark)
     return ids.join(found, "sha").drop("sha")
