@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import written
+from .util import discard, written
 
 #: Links that a task turns into stars at once.
 LINKS = 1 << 20
@@ -69,8 +69,10 @@ def connected(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m")), "cc-least")
         large = written(edges.join(least, F.col("b") == F.col("node")).select(F.col("a").alias("u"), F.col("m").alias("w")).distinct(), "cc-large")
-        small = written(large.groupBy("u").agg(F.min("w").alias("m")).withColumnRenamed("u", "node"), "cc-small")
+        small = written(large.groupBy("u").agg(F.min("w").alias("m")).select(F.col("u").alias("node"), "m"), "cc-small")
         stars = large.join(small, F.col("u") == F.col("node")).filter("w > m").select(F.col("w").alias("a"), F.col("m").alias("b"))
+        last = edges
         edges = written(stars.unionByName(small.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct(), "cc")
+        discard(last, least, large, small)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

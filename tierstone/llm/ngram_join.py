@@ -25,11 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .components import connected
+from .components import LINKS, connected, local_components
 from .util import cache, checked_broadcast, discard, mix64, powers, release, with_row_id, written
 
 WORDS, PERCENT, BLOCK, BLOCK_BYTES, FRAGMENTS, COLUMNS, SEGMENT = 5, 80, 1024, 16 << 20, 4, 2048, 256 << 10
@@ -167,16 +167,40 @@ SHORT = "cast(conv(hex(substring(set_key, 2, 7)), 16, 10) AS long)"
 
 
 def families(classes: DataFrame) -> DataFrame:
-    """node (a class's short key), root: classes that share prefix shingles, straight or through others. Classes and shingles are nodes
-    alike; should two keys collide, families merge, which costs time only."""
+    """node (a class's short key), root: classes that share prefix shingles, straight or through others, in families of two at least. A task joins its own
+    classes first; then each shingle links the local families it is in. Should two short keys collide, families merge, which costs time only."""
 
     def run(batches):
+        held, n = [], 0
         for b in batches:
-            prefix = b.column(1)
-            who = np.repeat(np.asarray(b.column(0)), np.diff(np.asarray(prefix.offsets)))
-            yield pa.RecordBatch.from_arrays([pa.array(who), prefix.flatten()], names=["a", "b"])
-
-    return connected(classes.select("short", "prefix").mapInArrow(run, "a long, b long"))
+            held.append(b)
+            n += len(b.column(1).flatten())
+            if n > LINKS:
+                yield local(held)
+                held, n = [], 0
+        if held:
+            yield local(held)
+
+    def local(held):
+        who = np.concatenate([np.asarray(b.column(0)) for b in held])
+        each = np.concatenate([np.diff(np.asarray(b.column(1).offsets)) for b in held])
+        shingles, at = np.unique(np.concatenate([np.asarray(b.column(1).flatten()) for b in held]), return_inverse=True)
+        m = len(who)
+        # the smallest node of a component is a class
+        root = who[local_components(np.repeat(np.arange(m), each), m + at, m + len(shingles))]
+        kind = np.repeat([False, True], [m, len(shingles)])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([who, shingles])), pa.array(root)], names=["shingle", "node", "root"])
+
+    stars = written(classes.select("short", "prefix").mapInArrow(run, "shingle boolean, node long, root long"), "ngram-stars")
+    # a shingle has a row per task at most, so no window is large
+    least = F.min("root").over(Window.partitionBy("node"))
+    links = stars.filter("shingle").select("root", least.alias("m")).filter("root > m").select(F.col("root").alias("a"), F.col("m").alias("b")).distinct()
+    joined = written(connected(written(links, "ngram-local")), "ngram-joined").select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    found = stars.filter("NOT shingle").join(joined, F.col("root") == F.col("__node"), "left").select("node", F.coalesce("__root", "root").alias("root"))
+    found = written(found, "ngram-found")
+    discard(stars)
+    several = written(found.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("root").alias("__root")), "ngram-several")
+    return found.join(several, F.col("root") == F.col("__root"), "left_semi")
 
 
 def fragment_of(shared: np.ndarray, octaves: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -344,8 +368,10 @@ def join(rows: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) ->
     discard(chunks)
     release(spark)
     classes = written(lists.filter("shared IS NOT NULL").dropDuplicates(["set_key"]).select("set_key", F.expr(SHORT).alias("short"), "n_shingles", "prefix", "shared", "octaves"), "ngram-classes")
-    linked = connected(written(_family_links(classes, families(classes), block, block_bytes), "ngram-links"))
-    linked = written(linked, "ngram-components")
+    links = written(_family_links(classes, families(classes), block, block_bytes), "ngram-links")
+    discard(classes)
+    release(spark)
+    linked = written(connected(links), "ngram-components")
     out = lists.select(F.col("rid").alias("__rid"), "n_shingles", "set_key").join(linked, F.col("set_key") == F.col("node"), "left")
     return out.select("__rid", "n_shingles", F.coalesce("root", "set_key").alias("label"))
 
