@@ -104,8 +104,8 @@ def sample(docs: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
     k = counts.count()
     each = max(1, most // max(1, k))
     place = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    # about three times as many as are wanted of each language go on, all of a rare one; then the first of each are taken
-    shares = counts.select(F.col("lang").alias("__lang"), F.least(F.lit(1.0), F.lit(3.0 * each + 30) / F.col("n")).alias("__share"))
+    # some more than are wanted of each language go on, all of a rare one; then the first of each are taken
+    shares = counts.select(F.col("lang").alias("__lang"), F.least(F.lit(1.0), F.lit(1.3 * each + 30) / F.col("n")).alias("__share"))
     near = lab.select("lang", "text", place.alias("place")).join(checked_broadcast(shares, k, 100_000), F.col("lang") == F.col("__lang")).filter("place < __share").select("lang", "text", "place")
 
     def run(batches):
@@ -113,8 +113,8 @@ def sample(docs: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
             keep = [(lang, p, features(t)) for lang, t, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.string()), pa.array([k[1] for k in keep], pa.float64()), pa.array([k[2].tobytes() for k in keep], pa.binary())], names=["lang", "place", "x"])
 
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "x"))
-    return near.mapInArrow(run, "lang string, place double, x binary").withColumn("i", first).filter(F.col("i") <= each).drop("i")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    return near.withColumn("i", first).filter(F.col("i") <= each).select("lang", "text", "place").mapInArrow(run, "lang string, place double, x binary")
 
 
 def train(docs: DataFrame, most: int = MAX_TRAIN) -> Model:
