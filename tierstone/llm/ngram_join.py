@@ -272,10 +272,13 @@ def _blocks(rows: DataFrame, block: int, block_bytes: int) -> tuple[DataFrame, D
 
 
 def _family_links(classes: DataFrame, family: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """Links a, b (set_key), written. ``classes`` is deleted as soon as the families have their own table."""
     weights = np.array([n or 0 for n in classes.agg(*(F.sum(F.col("octaves")[i]) for i in range(OCTAVES))).first()], np.float64)
     rows = classes.select("set_key", F.col("short").alias("__short"), "n_shingles", "shared", "octaves").join(family, F.col("__short") == F.col("node")).drop("node", "__short")
-    rows = written(rows, "ngram-family")
-    rows, pairs = _blocks(rows, block, block_bytes)
+    members = written(rows, "ngram-family")
+    discard(classes)
+    release(members.sparkSession)
+    rows, pairs = _blocks(members, block, block_bytes)
 
     def cut(batches):
         for b in batches:
@@ -356,7 +359,9 @@ def _family_links(classes: DataFrame, family: DataFrame, block: int, block_bytes
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     counted = segments.repartition("root", "x", "y", "fragment").sortWithinPartitions("root", "x", "y", "fragment").mapInArrow(count, PARTIAL)
-    return counted.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(add, "a binary, b binary")
+    found = written(counted.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(add, "a binary, b binary"), "ngram-links")
+    discard(members, pairs)
+    return found
 
 
 def join(rows: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -368,11 +373,13 @@ def join(rows: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) ->
     discard(chunks)
     release(spark)
     classes = written(lists.filter("shared IS NOT NULL").dropDuplicates(["set_key"]).select("set_key", F.expr(SHORT).alias("short"), "n_shingles", "prefix", "shared", "octaves"), "ngram-classes")
-    links = written(_family_links(classes, families(classes), block, block_bytes), "ngram-links")
-    discard(classes)
+    keys = written(lists.select(F.col("rid").alias("__rid"), "n_shingles", "set_key"), "ngram-keys")
+    discard(lists)
+    release(spark)
+    links = _family_links(classes, families(classes), block, block_bytes)
     release(spark)
     linked = written(connected(links), "ngram-components")
-    out = lists.select(F.col("rid").alias("__rid"), "n_shingles", "set_key").join(linked, F.col("set_key") == F.col("node"), "left")
+    out = keys.join(linked, F.col("set_key") == F.col("node"), "left")
     return out.select("__rid", "n_shingles", F.coalesce("root", "set_key").alias("label"))
 
 
