@@ -366,8 +366,12 @@ def _family_links(classes: DataFrame, family: DataFrame, block: int, block_bytes
 
 def join(rows: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``rows``: __rid (non-null, unique) and text. Gives __rid, n_shingles, label (equal within a component, null: none)."""
-    spark = rows.sparkSession
-    chunks = C.write_chunks(rows.select("__rid", "text"))
+    return join_chunks(C.write_chunks(rows.select("__rid", "text")), block, block_bytes)
+
+
+def join_chunks(chunks: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """join() of texts that are in chunks, which it deletes."""
+    spark = chunks.sparkSession
     bits = C.bucket_bits(chunks)
     lists = written(_lists(chunks, C.totals(_entries(chunks, bits), "<u4"), bits), "ngram-lists")
     discard(chunks)
@@ -385,7 +389,9 @@ def join(rows: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) ->
 
 def op6(docs: DataFrame) -> DataFrame:
     rows = with_row_id(docs.select("doc_id", "text"), "ngram-rows")
-    found = written(join(rows).join(rows.select("__rid", "doc_id"), "__rid"), "ngram-found")
+    chunks, ids = C.write_chunks(rows.select("__rid", "text")), written(rows.select("__rid", "doc_id"), "ngram-ids")
+    discard(rows)
+    found = written(join_chunks(chunks).join(ids, "__rid"), "ngram-found")
     # only components of several rows need their smallest doc_id looked up
     least = written(found.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("label").alias("__label"), "least"), "ngram-least")
     out = found.join(least, F.col("label") == F.col("__label"), "left")
