@@ -255,6 +255,12 @@ def test_hot_key_is_one_entry_per_chunk(spark):
     assert ngram_join._entries(made, 4).count() == made.count() <= 2
 
 
+def test_texts_without_bytes_do_not_gather_in_one_chunk(spark):
+    made = chunks.write_chunks(spark.range(150_000).select("id", F.lit(None).cast("string").alias("t")).coalesce(1))
+    sizes = sorted(len(chunks.opened(r.asDict())[0]) for r in made.collect())
+    assert max(sizes) == chunks.CHUNK_ROWS and sum(sizes) == 150_000
+
+
 def without_repeats(raw):
     seen = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
     out = []

@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from .util import slices, texts_of, written
 
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+#: Texts of a chunk at most, so that null and empty ones, which take no bytes, do not gather in one.
+CHUNK_ROWS = 1 << 16
 CHUNK = "chunk_id long, n_bytes long, ids binary, lengths binary, blob binary"
 ENTRY = "bucket int, chunk_id long, keys binary, counts binary"
 
@@ -45,7 +47,7 @@ def write_chunks(rows: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
         for part in slices(batches, part_text):
             for i, t in zip(part.column(0).to_pylist(), texts_of(part.column(1))):
                 t = t or b""
-                if texts and held + len(t) > size:
+                if texts and (held + len(t) > size or len(texts) == CHUNK_ROWS):
                     yield chunk()
                     made, held, ids, texts = made + 1, 0, [], []
                 ids.append(i)
